@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from tidewright.llm.bpe import encode_decode
 from tidewright.llm.decontaminate import scan_documents
 from tidewright.llm.exact_dedup import exact_duplicates
+from tidewright.llm.html_text import extract
 from tidewright.llm.language_id import held_out, identify, learn
 from tidewright.llm.near_dedup import near_duplicates
+from tidewright.llm.resampling import resample
+from tidewright.llm.token_counts import count_tokens
+from tidewright.llm.url_filter import judge
+from tidewright.llm.warc import read_records, write_archives
+
+#: Share of the corpus that importance resampling draws.
+RESAMPLE_SHARE = 0.8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +30,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return resample(_table(spark, sf_dir, "documents"), good, RESAMPLE_SHARE)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_documents(docs, _table(spark, sf_dir, "benchmark"))
@@ -32,6 +45,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode_decode(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False, with_text=False)
@@ -45,12 +62,40 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_pretokens", "n_tokens")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = write_archives(_table(spark, sf_dir, "pages"))
+    found = read_records(folder, index, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 QUERIES = {
-    f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op5_bpe, op6_language_id, op9_minhash)
+    f.__name__: f
+    for f in (
+        op1_importance_resampling,
+        op2_decontamination,
+        op3_exact_dedup,
+        op4_html_extraction,
+        op5_bpe,
+        op6_language_id,
+        op7_token_counts,
+        op8_warc,
+        op9_minhash,
+        op10_url_filter,
+    )
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,6 +134,15 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id,
        count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
+""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT page_id, n, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> least THEN least END AS refers_to
+FROM g
 """,
     "op9_minhash": rf"""
 WITH RECURSIVE w AS (
