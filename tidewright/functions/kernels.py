@@ -210,7 +210,10 @@ def min_cut(cost_true: np.ndarray, cost_false: np.ndarray, caps: list[np.ndarray
     while True:
         active = (excess > eps) & (h < limit)
         if not active.any():
-            return h < limit
+            h = heights()
+            active = (excess > eps) & (h < limit)
+            if not active.any():
+                return h < limit
         push = np.where(active, np.minimum(excess, to_sink), 0.0)
         excess -= push
         to_sink -= push
