@@ -23,7 +23,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{s}\p{{L}}\p{{N}}]
 #: White space of the pattern, as the tokenizer's own engine has it.
 SPACE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pre-tokens and fragments remembered by a task, each.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Bytes of a fragment beyond which merges are queued.
+LONG = 96
+NONE = 1 << 62
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,7 +63,12 @@ class ByteBPE:
         model = spec["model"]
         self.ids = {raw(t): i for t, i in model["vocab"].items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        #: Pair of ids to rank and merged id, all packed in whole numbers.
+        self.merges = {
+            self.ids[a] << 20 | self.ids[b]: k << 20 | self.ids[a + b]
+            for k, (a, b) in enumerate((raw(a), raw(b)) for a, b in pairs)
+        }
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.prefix = bool(spec["pre_tokenizer"].get("add_prefix_space"))
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
@@ -73,30 +81,42 @@ class ByteBPE:
 
     def _merge(self, raw: bytes) -> tuple[int, ...]:
         """Ids of one fragment: merges in order of rank, leftmost first."""
-        whole = self.ids.get(raw)
-        if len(raw) == 1:
-            return (whole,)
-        parts: list[bytes | None] = [raw[k : k + 1] for k in range(len(raw))]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        ranks, n = self.ranks, len(parts)
-        queue = [(r, k) for k in range(n - 1) if (r := ranks.get((parts[k], parts[k + 1]))) is not None]
+        if len(raw) > LONG:
+            return self._merge_long(raw)
+        ids = [self.byte_ids[b] for b in raw]
+        get = self.merges.get
+        found = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found and (best := min(found)) != NONE:
+            k = found.index(best)
+            ids[k] = new = best & 0xFFFFF
+            del ids[k + 1], found[k]
+            if k:
+                found[k - 1] = get(ids[k - 1] << 20 | new, NONE)
+            if k < len(found):
+                found[k] = get(new << 20 | ids[k + 1], NONE)
+        return tuple(ids)
+
+    def _merge_long(self, raw: bytes) -> tuple[int, ...]:
+        """The same for long fragments: a queue of merges over a linked list, O(n log n)."""
+        ids: list[int] = [self.byte_ids[b] for b in raw]
+        n, get = len(ids), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(m, k) for k in range(n - 1) if (m := get(ids[k] << 20 | ids[k + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            r, k = heapq.heappop(queue)
-            left = parts[k]
+            m, k = heapq.heappop(queue)
             j = after[k]
-            if left is None or j >= n or ranks.get((left, parts[j])) != r:
+            if ids[k] < 0 or j >= n or get(ids[k] << 20 | ids[j]) != m:
                 continue
-            parts[k] = left + parts[j]
-            parts[j] = None
-            after[k] = m = after[j]
-            if m < n:
-                before[m] = k
-                if (r := ranks.get((parts[k], parts[m]))) is not None:
-                    heapq.heappush(queue, (r, k))
-            if (b := before[k]) >= 0 and (r := ranks.get((parts[b], parts[k]))) is not None:
-                heapq.heappush(queue, (r, b))
-        return tuple(self.ids[p] for p in parts if p is not None)
+            ids[k], ids[j] = m & 0xFFFFF, -1
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                if (m := get(ids[k] << 20 | ids[j])) is not None:
+                    heapq.heappush(queue, (m, k))
+            if (b := before[k]) >= 0 and (m := get(ids[b] << 20 | ids[k])) is not None:
+                heapq.heappush(queue, (m, b))
+        return tuple(i for i in ids if i >= 0)
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut at every pair of bytes that no token holds."""
@@ -111,7 +131,7 @@ class ByteBPE:
     def _pieces(self, token: str) -> tuple[int, ...]:
         parts = self.fragments(token.encode("utf-8", "surrogatepass"))
         if len(parts) == 1:
-            return self._merge(parts[0]) if len(parts[0]) > 256 else self.fragment[parts[0]]
+            return self._merge(parts[0])
         return tuple(chain.from_iterable(map(self.fragment.__getitem__, parts)))
 
     def _plain(self, text: str) -> list[int]:
@@ -119,6 +139,11 @@ class ByteBPE:
             text = " " + text
         return list(chain.from_iterable(map(self.token.__getitem__, self.split.findall(text))))
 
+    def forget(self) -> None:
+        """Free what a task remembered."""
+        self.token.clear()
+        self.fragment.clear()
+
     def encode(self, text: str) -> list[int]:
         if self.special is None or not any(t in text for t in self.added):
             return self._plain(text)
@@ -148,6 +173,7 @@ def _kernel(path: str, with_ids: bool, with_text: bool):
                 text_out.append(back if with_text else None)
             return [counts, ids_sha, text_sha] + [ids_out] * with_ids + [text_out] * with_text
 
+        kernel.done = bpe.forget
         return kernel
 
     return make

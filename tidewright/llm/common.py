@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,47 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch: bounds a Python worker's memory whatever the texts.
-BATCH_ROWS = 2000
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (local tests) a new local one is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+from tidewright.tables import cut, drop, new_folder
 
+__all__ = ["annotate", "cut", "drop", "new_folder", "once_a_process", "small_batches"]
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/tidewright/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidewright_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by ``cut`` that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tidewright_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows of one Arrow batch: bounds a Python worker's memory whatever the texts.
+BATCH_ROWS = 500
 
 
 def once_a_process(key: tuple, make: Callable):
@@ -80,7 +43,8 @@ def annotate(
     """Add columns that a Python kernel computes from ``inputs``, row by row.
 
     ``make()`` runs once a task and returns the kernel; the kernel gets one list
-    per input and returns one list per new field.  All columns of ``df`` (or
+    per input and returns one list per new field; its attribute ``done``, if it
+    has one, is called at the task's end.  All columns of ``df`` (or
     those of ``keep``) pass through as Arrow data; a column that has the name
     of a new field is replaced.  Nothing is shuffled.
     """
@@ -97,10 +61,13 @@ def annotate(
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         kernel = make()
-        for batch in found:
-            cols = batch.columns
-            made = kernel(*[c.to_pylist() for c in cols[len(kept) : len(kept) + n]])
-            arrays = [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols[: len(kept)], *arrays], names=[*kept, *new])
+        try:
+            for batch in found:
+                cols = batch.columns
+                made = kernel(*[c.to_pylist() for c in cols[len(kept) : len(kept) + n]])
+                arrays = [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols[: len(kept)], *arrays], names=[*kept, *new])
+        finally:
+            getattr(kernel, "done", lambda: None)()
 
     return source.mapInArrow(run, schema)
