@@ -53,7 +53,7 @@ NOT_TEXT = frozenset(
 )
 #: Names that mean a page's head outside an article, but an article's own head inside one.
 HEADS = frozenset("header masthead".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _NAME = re.compile("[a-z0-9]+")
 
 
@@ -159,6 +159,8 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def threshold(values: np.ndarray) -> float:
     """Border of two clusters (2-means); lines at or above it are content."""
     low, high = float(values.min()), float(values.max())
+    if high - low <= 1e-9 * max(1.0, abs(high)):
+        return low
     border = (low + high) / 2
     for _ in range(50):
         upper = values >= border
@@ -210,12 +212,12 @@ def main_text(html: str | None) -> str:
         if parent[h] in within:
             within.add(h)
     chosen = [k for k in open_to if lines[k][3] in within]
-    if kind[whole] in ("#", "html", "body"):  # no element around the article: its region of lines
+    if kind[whole] in ("#", "html", "body"):  # no element around the article: its region of lines, and prose beyond
         marked = set(content)
         first, last = min(content), max(content)
         chosen = [
             k for k in chosen
-            if k in marked or lines[k][4] in HEADINGS or (first < k < last and lines[k][2] * 2 <= len(lines[k][0]))
+            if k in marked or ((first < k < last or lines[k][4] in PROSE) and lines[k][2] * 2 <= len(lines[k][0]))
         ]
     return "\n\n".join(lines[k][0] for k in chosen)
 
