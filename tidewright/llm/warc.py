@@ -125,6 +125,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
         .agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
         .where("n > 1 and least is not null")
     )
+    # a table: so both sides of the join are plain exchanges, and Spark can split a payload of very many pages
+    groups = cut(groups, "payload-groups")
     again = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
     typed = keyed.join(groups, ["payload_digest", "payload_bytes"], "left").select(
         "page_id",
