@@ -119,7 +119,8 @@ def rgb_stretch(df: DataFrame, keys: list[str], channels: tuple[str, str, str])
     joined = df.join(found, keys)
     scaled = lambda c: clip((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6), 0, 1) * 255.0
     names = ("red", "green", "blue")
-    return joined.withColumns({n: scaled(c).cast("int") for n, c in zip(names, channels, strict=True)}).drop("lo", "hi")
+    # truncated as a byte cast does, but not one lower for the last bit of a quantile
+    return joined.withColumns({n: (scaled(c) + 1e-9).cast("int") for n, c in zip(names, channels, strict=True)}).drop("lo", "hi")
 
 
 def overlay(df: DataFrame, mask: str, colour: tuple[int, int, int], share: float = 0.4) -> DataFrame:

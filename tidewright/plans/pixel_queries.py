@@ -143,11 +143,11 @@ def parse_channels(s, d):
     return X.table(s, d, "part").select("p_partkey", F.array_join(catalog.parse_channels(text).cast("array<string>"), ",").alias("channels"))
 
 
-@query(f"WITH {X.SCENE}, g AS (SELECT scene, [avg(b6), avg(b7), avg(b10)] AS v FROM scene GROUP BY ALL) SELECT scene, {rsql('v[1]', 'm0')}, {rsql('v[3]', 'm2')} FROM g")
+@query(f"WITH {X.SCENE}, g AS (SELECT scene, [avg(b6), avg(b7), avg(b10)] AS v FROM scene GROUP BY ALL) SELECT scene, {rsql('atan(v[1])', 'm0')}, {rsql('atan(v[3])', 'm2')} FROM g")
 def stats_slice(s, d):
     df = X.scene(s, d).groupBy("scene").agg(F.array(*[F.avg(f"b{k}") for k in range(12)]).alias("v"))
     cut = df.select("scene", catalog.select_channels(F.col("v"), [6, 7, 10]).alias("v"))
-    return _pick(cut, ["scene"], m0=F.get("v", F.lit(0)), m2=F.get("v", F.lit(2)))
+    return _pick(cut, ["scene"], m0=F.atan(F.get("v", F.lit(0))), m2=F.atan(F.get("v", F.lit(2))))
 
 
 # scalar formulas
@@ -391,7 +391,7 @@ def summarize_1d(s, d):
 
 
 @query(f"""WITH {X.SCENE}, u AS (SELECT scene, unnest([b2, b1, b0]) AS v FROM scene), q AS (SELECT scene, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM u GROUP BY ALL)
-SELECT scene, r, c, """ + ", ".join(f"trunc({csql(f'({b} - lo) / (hi - lo + 1e-6)', '0.0', '1.0')} * 255.0)::INTEGER AS {n}" for b, n in (("b2", "red"), ("b1", "green"), ("b0", "blue"))) + " FROM scene JOIN q USING (scene)")
+SELECT scene, r, c, """ + ", ".join(f"trunc({csql(f'({b} - lo) / (hi - lo + 1e-6)', '0.0', '1.0')} * 255.0 + 1e-9)::INTEGER AS {n}" for b, n in (("b2", "red"), ("b1", "green"), ("b0", "blue"))) + " FROM scene JOIN q USING (scene)")
 def rgb_stretch(s, d):
     return adaptive.rgb_stretch(X.scene(s, d), ["scene"], ("b2", "b1", "b0")).select(*AT, "red", "green", "blue")
 
