@@ -156,6 +156,8 @@ def test_whole_run_and_resume(spark):
     config = clusters.RunConfig(block=6, pad=3, pixel_m=60.0)
     out = clusters.run_clusters(df, ports, none, config).collect()
     assert len(out) == 6 and {r.ports for r in out} == {"P1", ""} and {r.folder for r in out} == {"cluster_010", "cluster_011"}
+    tiled = clusters.RunConfig(block=6, pad=3, pixel_m=60.0, distance_block=6, distance_reach=20)
+    assert sorted(clusters.run_clusters(df, ports, none, tiled).collect()) == sorted(out)
     done = spark.createDataFrame([(0,)], "cluster_id int")
     again = clusters.run_clusters(df, ports, done, config).collect()
     assert {r.cluster_id for r in again} == {1} and len(again) == 3

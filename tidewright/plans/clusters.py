@@ -30,12 +30,18 @@ class RunConfig:
     pad: int = K.PAD
     pixel_m: float = 10.0
     sea_water: float = K.SEA_WATER
+    #: Tile side of the distance layer; None takes whole scenes, a task each. Tiles see ``distance_reach``
+    #: pixels beyond their side, so distances up to 0.955 times that are exact, enough for the coast layer.
+    distance_block: int | None = None
+    distance_reach: int = 96
 
     def __post_init__(self) -> None:
         if self.year_min > self.year_max:
             raise ValueError("year_min is after year_max")
         if self.block <= 0 or self.pad < 0:
             raise ValueError("block must be positive and pad not negative")
+        if self.distance_block and self.distance_reach * 0.955 * self.pixel_m < K.COAST_MAX_M:
+            raise ValueError("distance_reach is short of the coast layer's limit")
 
 
 @dataclass(frozen=True)
@@ -102,7 +108,7 @@ def indices(df: DataFrame) -> DataFrame:
     })
 
 
-def refine(df: DataFrame, keys: list[str], pixel_m: float, block: int | None = None) -> DataFrame:
+def refine(df: DataFrame, keys: list[str], pixel_m: float, block: int | None = None, reach: int = 96) -> DataFrame:
     """Scene layers from decoded bands b0..b11 and raw scores ``prob_raw``, up to prob_refined.
 
     Adds indices, water_prob, water, dist_to_water_m, coast, prior and
@@ -111,7 +117,7 @@ def refine(df: DataFrame, keys: list[str], pixel_m: float, block: int | None = N
     bands = {"green": "b1", "red": "b2", "nir": "b3", "swir": "b4", "vv": "b6", "vh": "b7"}
     named = indices(df.withColumns({n: P.clean(F.col(b)) for n, b in bands.items()}))
     wet = adaptive.water_probability(named, keys).withColumn("water", F.col("water_prob") >= 0.5)
-    far = stencil.distance_to(wet, keys, "water", block)
+    far = stencil.distance_to(wet, keys, "water", block, reach)
     at = [*keys, "r", "c"]
     joined = wet.join(far, at).withColumn("dist_to_water_m", F.col("dist_px") * pixel_m)
     coast = joined.withColumn("coast", P.coast_score(F.col("dist_to_water_m"), F.col("water")))
@@ -166,7 +172,8 @@ def run_clusters(scenes: DataFrame, ports: DataFrame, done: DataFrame, config: R
     if config.clusters:
         todo = todo.where(F.col("cluster_id").isin(list(config.clusters)))
     todo = todo.join(done.select("cluster_id").distinct(), "cluster_id", "left_anti")
-    layers = cut(refine(todo, ["cluster_id", "year"], config.pixel_m), "layers")
+    scene = ["cluster_id", "year"]
+    layers = cut(refine(todo, scene, config.pixel_m, config.distance_block, config.distance_reach), "layers")
     changes = label_and_account(layers, config)
     uids = todo.groupBy("cluster_id").agg(F.min("cluster_uid").alias("cluster_uid"))
     named = changes.join(uids, "cluster_id").join(ports, "cluster_id", "left")
