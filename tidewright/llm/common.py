@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from tidewright.tables import cut, drop, new_folder
 
-__all__ = ["annotate", "cut", "drop", "new_folder", "once_a_process", "small_batches"]
+__all__ = ["annotate", "cut", "drop", "new_folder", "once_a_process", "small_batches", "with_hash"]
 
-#: Rows of one Arrow batch: bounds a Python worker's memory whatever the texts.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch: bound a Python worker's memory whatever the texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def once_a_process(key: tuple, make: Callable):
@@ -29,8 +29,18 @@ def once_a_process(key: tuple, make: Callable):
 
 
 def small_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def with_hash(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with ``_h``, a hash of ``cols``, to join on besides them.
+
+    An aggregated side is dealt by its own keys; joined on one key more, it is
+    dealt anew like the other side.  A join between two plain exchanges is one
+    whose hot keys Spark can split.
+    """
+    return df.withColumn("_h", F.xxhash64(*cols))
 
 
 def annotate(

@@ -15,7 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, drop
+from tidewright.llm.common import cut, drop, with_hash
+
+
+#: Edges of one file of a round's table, about.
+FILE_EDGES = 500_000
 
 
 class UnionFind:
@@ -52,18 +56,19 @@ def _forest(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    least = with_hash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
+    moved = with_hash(both, "u").join(least, ["u", "_h"]).where("v > u")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    moved = with_hash(edges, "u").join(with_hash(least, "u"), ["u", "_h"]).where("v != m")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node of ``edges`` (columns ``u``, ``v``, both long).
+    """(id, component) of every node of ``edges`` (columns ``u``, ``v``, both long), as a table.
 
     ``component`` is the least id that the node reaches.  Empty edges give an
     empty table; loops and repeated edges change nothing.
@@ -72,13 +77,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut(clean.select("u", "v").mapInPandas(_forest, "u long, v long").distinct(), "forest")
     state = None
     while True:
-        stepped = cut(_small_star(_large_star(now)).distinct(), "stars")
-        drop(now)
-        now = stepped
-        # stable when a round changes nothing
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(seen) == state:
+        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        files = 1 + seen[0] // FILE_EDGES
+        if seen == state:  # the last round changed nothing
             break
-        state = tuple(seen)
+        state = seen
+        wide = cut(_large_star(now).distinct().coalesce(files), "wide")
+        stepped = cut(_small_star(wide).distinct().coalesce(files), "stars")
+        drop(now, wide)
+        now = stepped
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    nodes = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    out = cut(nodes.coalesce(files), "components")
+    drop(now)
+    return out

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import annotate, cut, drop, small_batches
+from tidewright.llm.common import annotate, cut, drop, small_batches, with_hash
 from tidewright.llm.components import UnionFind, connected_components
 from tidewright.llm.superminhash import (
     band_keys,
@@ -181,15 +181,17 @@ def near_duplicates(
         "signed",
     )
     known = signed.where("id is not null and n_shingles > 0")
-    classes = known.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("cid"))
+    same = ["n_shingles", "d1", "d2"]
+    classes = with_hash(known.groupBy(*same).agg(F.min("id").alias("cid")), *same).persist()
     # rows of one id with several texts: each text's class, tied together
-    apart = known.join(classes, ["n_shingles", "d1", "d2"]).select("id", "cid")
-    standing = known.join(classes.withColumnRenamed("cid", "id"), ["n_shingles", "d1", "d2", "id"], "left_semi")
+    apart = with_hash(known, *same).join(classes, [*same, "_h"]).select("id", "cid")
+    standing = known.join(classes.select(*same, F.col("cid").alias("id")), [*same, "id"], "left_semi")
     rows = standing.dropDuplicates(["id", "d1", "d2"]).select(
         F.explode("keys").alias("bucket"), "id", F.col("n_shingles").alias("size")
     )
     crowded = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = cut(rows.join(crowded.select("bucket", "hub"), "bucket"), "members")
+    met = with_hash(rows, "bucket").join(with_hash(crowded.select("bucket", "hub"), "bucket"), ["bucket", "_h"])
+    members = cut(met.drop("_h"), "members")
 
     ids = members.select("id").distinct()
     texts = cut(base.join(ids, "id", "left_semi"), "texts")
@@ -202,17 +204,18 @@ def near_duplicates(
     )
     several = apart.groupBy("id").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high")
     ties = apart.join(several, "id").where("cid != low").select(F.col("low").alias("u"), F.col("cid").alias("v"))
-    links = cut(paired.mapInPandas(_confirm_stars(percent), "u long, v long").union(ties), "links")
-    first = cut(connected_components(links), "first")
-
-    more = cut(_leftover(members, first, texts, percent), "more")
-    linked = links.union(more) if not more.isEmpty() else None
-    final = cut(connected_components(linked), "final") if linked is not None else first
+    links = paired.mapInPandas(_confirm_stars(percent), "u long, v long").union(ties).persist()
+    first = connected_components(links)
+    more = _leftover(members, first, texts, percent).persist()
+    final = connected_components(links.union(more))
     named = classes.join(final.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "n_shingles", "d1", "d2", F.coalesce("component", "cid").alias("component_id")
+        *same, "_h", F.coalesce("component", "cid").alias("component_id")
     )
-    out = signed.select("id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
-    drop(members, texts, links, more)
+    named = cut(named, "named")
+    for held in (classes, links, more):
+        held.unpersist()
+    drop(members, texts, first, final)
+    out = with_hash(signed.select("id", *same), *same).join(named, [*same, "_h"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(
         F.when(F.col("id").isNotNull(), F.col("component_id"))
     )

@@ -58,8 +58,23 @@ def _draw(elements: np.ndarray, level: int, m: int) -> tuple[np.ndarray, np.ndar
     return x >> np.uint64(32), place.astype(np.int64)
 
 
+#: Elements of one pass: bounds the permutations held (one per element of small sets).
+PASS_ELEMENTS = 1 << 16
+
+
 def signatures(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
     """``len(sizes) x m`` signatures; a row of an empty set is all ones."""
+    ends = np.cumsum(sizes)
+    parts, at, first = [], 0, 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, at + PASS_ELEMENTS, side="right")))
+        end = int(ends[last - 1])
+        parts.append(_signatures(elements[at:end], sizes[first:last], m))
+        at, first = end, last
+    return np.concatenate(parts) if parts else np.empty((0, m), np.uint64)
+
+
+def _signatures(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
     docs = len(sizes)
     sig = np.full(docs * m, _EMPTY, np.uint64)
     owner = np.repeat(np.arange(docs), sizes)
