@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import annotate, cut, small_batches
+from tidewright.llm.common import annotate, cut, small_batches, with_hash
 from tidewright.llm.words import GOLDEN, mix
 
 #: Chunk bytes: least, about the mean beyond the least, most.
@@ -126,7 +126,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # rows of one id and text: a number tells them apart; such groups are as small as an id's rows
     numbered = recipes.groupBy("recipe", "id", "text_sha256").agg(F.count("*").alias("rows"))
     groups = numbered.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    out = numbered.join(groups, "recipe").select("id", "keep_id", "group_size", "text_sha256", "rows")
+    joined = with_hash(numbered, "recipe").join(with_hash(groups, "recipe"), ["recipe", "_h"])
+    out = joined.select("id", "keep_id", "group_size", "text_sha256", "rows")
     first = F.col("id").eqNullSafe(F.col("keep_id"))
     return out.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
         F.col("id").alias("doc_id"),
