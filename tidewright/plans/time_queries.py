@@ -221,7 +221,13 @@ def affine_warp(s, d):
     return found.select("scene", "r", "c", R(F.col("b6")).alias("v"))
 
 
-@query()
+_N = lambda i, n: f"(CASE WHEN {n} = 1 THEN 1.0 ELSE 0.5 - 0.5 * cos(2 * pi() * {i} / greatest({n} - 1, 1)) END)"
+
+
+@query(f"""WITH {X.SCENE}, o AS (SELECT y::INTEGER AS y, least(6, 8 - y)::INTEGER AS n FROM range(0, 8, 3) AS t(y)),
+s AS (SELECT scene, r, c, 1.0 / (1.0 + exp(-(1.5 * (b11 - 0.1) - (b10 - 0.1) - 0.5 * (b9 - 0.1)) / (0.5 + 1e-6))) AS p FROM scene),
+w AS (SELECT scene, r, c, p, {csql(_N('(r - a.y)', 'a.n') + ' * ' + _N('(c - b.y)', 'b.n'), '1e-3', '1.0')} AS w FROM s, o AS a, o AS b WHERE r BETWEEN a.y AND a.y + 5 AND c BETWEEN b.y AND b.y + 5)
+SELECT scene, r, c, {rsql(csql('sum(p * w) / (sum(w) + 1e-6)', '0.0', '1.0'), 'p')} FROM w GROUP BY scene, r, c""")
 def score_scene(s, d):
     found = score_scenes(X.scene(s, d), ["scene"], [0.1] * 12, [0.5] * 12, patch=6, stride=3)
     return found.withColumn("p", R(F.col("p")))
@@ -242,6 +248,23 @@ def stmincut(s, d):
     return spacetime.minimum_cut(costs, ["cluster_id"], "t", "f", "w", "g", "b", block=16, pad=0)
 
 
+@query(f"""WITH RECURSIVE {X.STACK}, k AS (SELECT cluster_id, r, c, row_number() OVER (PARTITION BY cluster_id, r, c ORDER BY year) AS k,
+  -ln({csql('p', '1e-6', '1.0')}) AS t, -ln({csql('1.0 - p', '1e-6', '1.0')}) AS f FROM stack),
+best AS (SELECT cluster_id, r, c, k, f AS e0, t AS e1 FROM k WHERE k = 1
+  UNION ALL SELECT n.cluster_id, n.r, n.c, n.k, least(e0, e1 + 2.0) + n.f, least(e1, e0 + 1.0) + n.t FROM best AS b JOIN k AS n ON n.cluster_id = b.cluster_id AND n.r = b.r AND n.c = b.c AND n.k = b.k + 1)
+SELECT cluster_id, r, c, {rsql('least(e0, e1)', 'energy')} FROM best WHERE k = (SELECT max(k) FROM k)""")
+def mincut_energy(s, d):
+    """Least energy per pixel series without spatial weights, as the labels of the cut pay it."""
+    x = _layers(s, d)
+    p = F.col("prob_refined")
+    costs = x.select(*AT, P.log_cost(p).alias("t"), P.log_cost(1.0 - p).alias("f"), F.lit(0.0).alias("w"), F.lit(1.0).alias("g"), F.lit(2.0).alias("b"))
+    labels = spacetime.minimum_cut(costs, ["cluster_id"], "t", "f", "w", "g", "b", block=16, pad=0)
+    paid = labels.join(costs, AT).withColumn("was", temporal.previous(F.col("label"), CELL))
+    now, was = F.col("label"), F.col("was")
+    step = F.when(now & ~was, F.col("g")).when(~now & was, F.col("b")).otherwise(0.0)
+    return paid.groupBy(*CELL).agg(R(F.sum(F.when(now, F.col("t")).otherwise(F.col("f")) + step)).alias("energy"))
+
+
 @query()
 def space_time_block(s, d):
     return spacetime.label_ports(_layers(s, d), ["cluster_id"], block=8, pad=4)
