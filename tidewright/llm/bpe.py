@@ -23,7 +23,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{s}\p{{L}}\p{{N}}]
 #: White space of the pattern, as the tokenizer's own engine has it.
 SPACE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pre-tokens and fragments remembered by a task, each.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 #: Bytes of a fragment beyond which merges are queued.
 LONG = 96
 NONE = 1 << 62

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidewright.tables import cut, drop, new_folder
 
-__all__ = ["annotate", "cut", "drop", "new_folder", "once_a_process", "small_batches", "with_hash"]
+__all__ = ["annotate", "cut", "drop", "new_folder", "once_a_process", "small_batches", "tidy", "with_hash"]
 
 #: Rows and bytes of one Arrow batch: bound a Python worker's memory whatever the texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -28,6 +28,26 @@ def once_a_process(key: tuple, make: Callable):
     return held[key]
 
 
+def tidy(rows: Iterator, done: Callable[[], None] = lambda: None) -> Iterator:
+    """``rows``; at their end ``done()``, and unused memory goes back to the system.
+
+    Python workers live on between tasks, and allocators keep what they once had.
+    """
+    import ctypes
+    import gc
+
+    try:
+        yield from rows
+    finally:
+        done()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def small_batches(spark: SparkSession) -> None:
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
@@ -71,13 +91,14 @@ def annotate(
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         kernel = make()
-        try:
+
+        def rows() -> Iterator[pa.RecordBatch]:
             for batch in found:
                 cols = batch.columns
                 made = kernel(*[c.to_pylist() for c in cols[len(kept) : len(kept) + n]])
                 arrays = [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols[: len(kept)], *arrays], names=[*kept, *new])
-        finally:
-            getattr(kernel, "done", lambda: None)()
+
+        yield from tidy(rows(), getattr(kernel, "done", lambda: None))
 
     return source.mapInArrow(run, schema)

@@ -70,11 +70,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of ``edges`` (columns ``u``, ``v``, both long), as a table.
 
-    ``component`` is the least id that the node reaches.  Empty edges give an
+    ``edges`` is read twice, so it is better a table or cached.  ``component`` is the least id that the node reaches.  Empty edges give an
     empty table; loops and repeated edges change nothing.
     """
-    clean = edges.where("u is not null and v is not null and u != v")
-    now = cut(clean.select("u", "v").mapInPandas(_forest, "u long, v long").distinct(), "forest")
+    clean = edges.where("u is not null and v is not null and u != v").select("u", "v")
+    files = 1 + clean.count() // FILE_EDGES
+    now = cut(clean.mapInPandas(_forest, "u long, v long").distinct().coalesce(files), "forest")
     state = None
     while True:
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import annotate, cut, small_batches, with_hash
+from tidewright.llm.common import annotate, cut, small_batches, tidy, with_hash
 from tidewright.llm.words import GOLDEN, mix
 
 #: Chunk bytes: least, about the mean beyond the least, most.
@@ -99,7 +99,7 @@ def _chunk_rows(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _collided(texts: DataFrame) -> set[int]:
     """Hashes that name several chunks: distinct chunks by their bytes, counted by hash."""
-    distinct = texts.mapInPandas(_chunk_rows, "h long, chunk binary").distinct()
+    distinct = texts.mapInPandas(lambda found: tidy(_chunk_rows(found)), "h long, chunk binary").distinct()
     twice = distinct.groupBy("h").count().where("count > 1").select("h")
     # of n distinct chunks about n^2 / 2^65 pairs collide: few even at 10^11 chunks
     return {r["h"] for r in twice.collect()}

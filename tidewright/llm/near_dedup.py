@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import annotate, cut, drop, small_batches, with_hash
+from tidewright.llm.common import annotate, cut, drop, small_batches, tidy, with_hash
 from tidewright.llm.components import UnionFind, connected_components
 from tidewright.llm.superminhash import (
     band_keys,
@@ -38,6 +39,10 @@ from tidewright.llm.superminhash import (
     signatures,
 )
 
+#: Documents of one file of a table, at least: small inputs make few files.
+FILE_DOCUMENTS = 20_000
+#: Steps of numbers that are read again are cached on disk; a lost executor's part is made anew from its lineage.
+DISK = StorageLevel.DISK_ONLY
 BANDS, ROWS = 36, 4
 PLACES = BANDS * ROWS
 PERCENT = 75
@@ -102,6 +107,10 @@ def _confirm_stars(percent: int):
     return run
 
 
+def _tidied(run):
+    return lambda found: tidy(run(found))
+
+
 def _groups(found: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Runs of equal keys of sorted rows, across batches."""
     held: list[pd.DataFrame] = []
@@ -182,7 +191,7 @@ def near_duplicates(
     )
     known = signed.where("id is not null and n_shingles > 0")
     same = ["n_shingles", "d1", "d2"]
-    classes = with_hash(known.groupBy(*same).agg(F.min("id").alias("cid")), *same).persist()
+    classes = with_hash(known.groupBy(*same).agg(F.min("id").alias("cid")), *same).persist(DISK)
     # rows of one id with several texts: each text's class, tied together
     apart = with_hash(known, *same).join(classes, [*same, "_h"]).select("id", "cid")
     standing = known.join(classes.select(*same, F.col("cid").alias("id")), [*same, "id"], "left_semi")
@@ -191,10 +200,11 @@ def near_duplicates(
     )
     crowded = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     met = with_hash(rows, "bucket").join(with_hash(crowded.select("bucket", "hub"), "bucket"), ["bucket", "_h"])
-    members = cut(met.drop("_h"), "members")
+    files = 1 + signed.count() // FILE_DOCUMENTS
+    members = cut(met.drop("_h").coalesce(files), "members")
 
     ids = members.select("id").distinct()
-    texts = cut(base.join(ids, "id", "left_semi"), "texts")
+    texts = cut(base.join(ids, "id", "left_semi").coalesce(files), "texts")
     stars = members.where("id != hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     paired = (
         stars.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
@@ -204,14 +214,14 @@ def near_duplicates(
     )
     several = apart.groupBy("id").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high")
     ties = apart.join(several, "id").where("cid != low").select(F.col("low").alias("u"), F.col("cid").alias("v"))
-    links = paired.mapInPandas(_confirm_stars(percent), "u long, v long").union(ties).persist()
+    links = paired.mapInPandas(_tidied(_confirm_stars(percent)), "u long, v long").union(ties).persist(DISK)
     first = connected_components(links)
-    more = _leftover(members, first, texts, percent).persist()
+    more = _leftover(members, first, texts, percent).persist(DISK)
     final = connected_components(links.union(more))
     named = classes.join(final.withColumnRenamed("id", "cid"), "cid", "left").select(
         *same, "_h", F.coalesce("component", "cid").alias("component_id")
     )
-    named = cut(named, "named")
+    named = cut(named.coalesce(files), "named")
     for held in (classes, links, more):
         held.unpersist()
     drop(members, texts, first, final)
@@ -277,5 +287,5 @@ def _leftover(members: DataFrame, first: DataFrame, texts: DataFrame, percent: i
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
         .select("bucket", "i", "j", "id", "comp", "role", "text")
-        .mapInPandas(_search_blocks(percent), "u long, v long")
+        .mapInPandas(_tidied(_search_blocks(percent)), "u long, v long")
     )
