@@ -40,7 +40,7 @@ from tidewright.llm.superminhash import (
 )
 
 #: Documents of one file of a table, at least: small inputs make few files.
-FILE_DOCUMENTS = 20_000
+FILE_DOCUMENTS = 5_000
 #: Steps of numbers that are read again are cached on disk; a lost executor's part is made anew from its lineage.
 DISK = StorageLevel.DISK_ONLY
 BANDS, ROWS = 36, 4
