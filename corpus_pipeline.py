@@ -6,7 +6,7 @@ returns a DataFrame; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.bpe import encode_decode
@@ -24,21 +24,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
-def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is kept; rows with a null id stay, of repeated rows one."""
-    ids = judged.where("kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    return left.unionByName(docs.where("doc_id is null"))
-
-
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the least id."""
-    return _keep(docs, exact_duplicates(docs)).select(*docs.columns)
+    """One row of each group of equal texts, with the least id (an id beats a null one).
+
+    Of rows of one id whose texts are equal but for white space the least row stays.
+    """
+    # the operator's text_sha256, and with it the id: rows of one name are repeats
+    digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    name = lambda digest: F.concat_ws(" ", digest, F.col("doc_id").cast("string")).alias("_row")
+    place = Window.partitionBy("_row").orderBy(*docs.columns)
+    once = docs.select("*", name(digest)).withColumn("_k", F.row_number().over(place)).where("_k = 1")
+    marked = exact_duplicates(docs).where("kept").select(name(F.col("text_sha256")))
+    return once.join(marked, "_row", "left_semi").select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id."""
-    return _keep(docs, near_duplicates(docs))
+    """The rows of one document of each group of near copies, the one with the least id.
+
+    Rows of one id are one document; those without words are marked by themselves.  Rows with a null id stay.
+    """
+    bare = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    judged = near_duplicates(docs).where("kept and doc_id is not null")
+    marked = judged.select("doc_id", (F.col("n_shingles") == 0).alias("_bare")).distinct()
+    left = docs.withColumn("_bare", bare).join(marked, ["doc_id", "_bare"], "left_semi").select(*docs.columns)
+    return left.unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

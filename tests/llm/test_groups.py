@@ -365,6 +365,46 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert found[i].ids == library.encode(t, add_special_tokens=False).ids
 
 
+def stage_rows():
+    """Ids and texts that repeat: rows, in the columns of documents."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in ("the", "and", "house"))
+    texts = [(3, b), (5, a), (5, b), (5, b + " "), (7, c), (7, c), (7, c.replace(" ", "\n", 2)), (None, a), (None, "only here"), (None, "only  here"),
+             (1, a + " end"), (8, " "), (8, c + " end"), (8, ""), (9, None), (None, None), (11, "é\x85x\x1c ß\xa0 漢\x0b\x00 🙂"), (11, "é\x85x\x1c ß\xa0 漢\x0c\x00\t🙂")]
+    return [(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(texts)]
+
+
+def test_dedup_stages_keep_the_rows_that_are_marked(spark, tmp_path):
+    rows = stage_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    least = {}
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[3])):
+        least.setdefault((r[0], norm(r[1])), r)
+    digest = lambda r: hashlib.sha256(norm(r[1]).encode()).hexdigest()
+    marked = {(i, d) for i, _, _, kept, d in brute_exact([r[:2] for r in rows]) if kept}
+    want = [r for r in least.values() if (r[0], digest(r)) in marked]
+    exact = [tuple(r) for r in corpus_pipeline.exact_dedup(spark, docs, "").collect()]
+    assert sorted(exact, key=str) == sorted(want, key=str) and len({norm(r[1]) for r in rows}) == len(want)
+
+    for given in (want, rows):
+        near = corpus_pipeline.minhash_near_dedup(spark, spark.createDataFrame(given, docs.schema), "")
+        judged = near_duplicates(spark.createDataFrame(given, docs.schema)).where("kept").collect()
+        left = [tuple(r) for r in near.collect()]
+        count = lambda r, n: (str(r[0]), n)
+        assert sorted(count(r, len(shingles(r[1]))) for r in left) == sorted(count(r, r.n_shingles) for r in judged)
+        assert all(r in given for r in left)
+
+
+def test_pipeline_gives_each_document_once(spark, tmp_path):
+    rows = stage_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "question nobody asks")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = [(r.doc_id, r.source) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    # document 5 is a near copy of 1 by its text a and of 3 by its text b, (8, c end) of 7; (None, a) is an exact copy of 5
+    assert sorted(found, key=str) == sorted([(7, "s6"), (None, "s9"), (1, "s10"), (11, "s16")], key=str)
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
