@@ -268,6 +268,20 @@ def test_article_without_the_rest(wrap):
     assert html_text.main_text(PAGE.format(body=wrap.format(P1, P2))) == WANT
 
 
+@pytest.mark.parametrize("name", ["page no-sidebar", "has-banner", "with-comments", "search-results", "form-page", "sidebar", "page widget"])
+def test_a_wrapper_named_for_what_it_has_is_kept(name):
+    body = f"<h1>Title here</h1><p>{P1}</p><p>{P2}</p>"
+    assert html_text.main_text(f"<body><div class='{name}'><article>{body}</article></div></body>") == WANT
+    assert html_text.main_text(f"<body><div class='{name}'><div>{body}</div></div></body>") == WANT
+
+
+def test_names_inside_an_article():
+    parts = "<section id='related-work'><p>Work before.</p></section><div class='share-prices'>Prices fell.</div><div class='share-links'>Share!</div><div class='site-footer'>Foot</div>"
+    assert html_text.main_text(f"<article><h1>Title here</h1><p>{P1}</p><p>{P2}</p>{parts}</article>") == f"{WANT}\n\nWork before.\n\nPrices fell."
+    comments = f"<section class='comments'><article>{P1 * 3}</article><article>{P1 * 3}</article></section>"
+    assert html_text.main_text(f"<body><article><h1>Title here</h1><p>{P1}</p><p>{P2}</p></article>{comments}</body>") == WANT
+
+
 def test_page_without_an_element_around_the_article():
     assert html_text.main_text(PAGE.format(body=f"<h1>Title here</h1><p>{P1}</p><p>{P2}</p><p>{P1}</p>")).startswith(WANT)
 

@@ -53,18 +53,35 @@ NOT_TEXT = frozenset(
 )
 #: Names that mean a page's head outside an article, but an article's own head inside one.
 HEADS = frozenset("header masthead".split())
+#: Parts that say nothing at a name's end, and those that only tell what an element has.
+VAGUE = frozenset("list wrap wrapper container box area block slot item items inner section bar link links unit".split())
+WITH = frozenset("no has have with without hide show".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _NAME = re.compile("[a-z0-9]+")
 
 
+def _means(name: str) -> str:
+    """The part of a class or id that tells what the element is: of ``site-footer`` the footer."""
+    parts = _NAME.findall(name)
+    if not parts or parts[0] in WITH:
+        return ""
+    while len(parts) > 1 and (parts[-1] in VAGUE or parts[-1].isdigit()):
+        parts.pop()
+    return parts[-1]
+
+
 class _Lines(HTMLParser):
-    """Collects lines: [text, tags, link characters, holder, tag, left out]."""
+    """Collects lines: [text, tags, link characters, holder, tag, left out].
+
+    ``named`` are the holders left out for a class or id alone; lines count as left out for all other reasons.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, str, bool]] = []
         self.parent, self.kind = [-1], ["#"]  # of every holder met
         self.open: list[tuple[str, int, bool]] = [("#", 0, False)]  # tag, holder, left out
+        self.named: set[int] = set()
         self.silent: list[str] = []
         self.text: list[str] = []
         self.tags = self.links = self.in_link = 0
@@ -88,7 +105,13 @@ class _Lines(HTMLParser):
             return True
         if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
             return True
-        names = _NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
+        return False
+
+    def _named(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        if tag in ("html", "body", "article", "main"):
+            return False
+        inside = any(t in ("article", "main") for t, _, _ in self.open)
+        names = map(_means, f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split())
         return any(n in NOT_TEXT or (n in HEADS and not inside) for n in names)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -115,6 +138,8 @@ class _Lines(HTMLParser):
             out = self.open[-1][2] or self._left_out(tag, dict(attrs))
             self.parent.append(self.open[-1][1])
             self.kind.append(tag)
+            if self._named(tag, dict(attrs)):
+                self.named.add(len(self.parent) - 1)
             self.open.append((tag, len(self.parent) - 1, out))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -173,6 +198,37 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
+def _open_lines(parser: _Lines) -> list[int]:
+    """Lines that are not left out.
+
+    A name leaves out no element around the only article or main, or, where no
+    other article is open, around most of the text; nor all there is.
+    """
+    parent, kind, lines = parser.parent, parser.kind, parser.lines
+    possible = [k for k, line in enumerate(lines) if not line[5]]
+    mass = [0] * len(parent)
+    for k in possible:
+        mass[lines[k][3]] += len(lines[k][0])
+    for h in range(len(parent) - 1, 0, -1):
+        mass[parent[h]] += mass[h]
+    articles = [0] * len(parent)  # outermost ones inside, with text
+    for h in range(len(parent) - 1, 0, -1):
+        articles[parent[h]] += 1 if kind[h] in ("article", "main") and mass[h] else articles[h]
+
+    def hidden(named: set[int]) -> list[bool]:
+        out = [False] * len(parent)
+        for h in range(1, len(parent)):
+            out[h] = out[parent[h]] or h in named
+        return out
+
+    out = hidden(parser.named)
+    bare = not any(kind[h] in ("article", "main") and mass[h] and not out[h] for h in range(1, len(parent)))
+    big = lambda h: 2 * mass[h] > mass[0]
+    released = {h for h in parser.named if (bare and (big(h) or articles[h])) or (big(h) and articles[h] == 1)}
+    out = hidden(parser.named - released)
+    return [k for k in possible if not out[lines[k][3]]] or possible
+
+
 def main_text(html: str | None) -> str:
     """Article text of ``html``: blocks joined by an empty line; empty if there is none."""
     parser = _Lines()
@@ -182,7 +238,7 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    open_to = [k for k, line in enumerate(lines) if not line[5]]
+    open_to = _open_lines(parser)
     if not open_to:
         return ""
     ratios = np.array([len(t) / max(1, tags) for t, tags, *_ in lines])
