@@ -282,6 +282,14 @@ def test_names_inside_an_article():
     assert html_text.main_text(f"<body><article><h1>Title here</h1><p>{P1}</p><p>{P2}</p></article>{comments}</body>") == WANT
 
 
+@pytest.mark.parametrize("long", ["<section><p>{0}</p><p>{0}</p></section>", "<ul><li>{0}</li><li>{0}</li></ul>", "<blockquote>{0}</blockquote>", "<table><tr><td>{0}</td></tr></table>"])
+@pytest.mark.parametrize("around", ["<div>{}</div>", "<div><div>{}</div><div><a href='/'>Somewhere else on this site</a></div></div>", "{}"])
+def test_text_beside_the_longest_element_stays(long, around):
+    body = f"<h1>Title</h1><p>Lead.</p>{long.format('Many words of one long paragraph. ' * 40)}<p>End.</p>"
+    found = html_text.main_text(f"<html><body><nav>Menu</nav>{around.format(body)}<footer>Foot</footer></body></html>").split("\n\n")
+    assert found[:2] == ["Title", "Lead."] and found[-1] == "End." and len(found) > 3 and not any("Somewhere" in t or t in ("Menu", "Foot") for t in found)
+
+
 def test_page_without_an_element_around_the_article():
     assert html_text.main_text(PAGE.format(body=f"<h1>Title here</h1><p>{P1}</p><p>{P2}</p><p>{P1}</p>")).startswith(WANT)
 

@@ -263,17 +263,37 @@ def main_text(html: str | None) -> str:
         if h >= 0:
             whole = h
             break
-    within = {whole}
-    for h in range(whole + 1, len(parent)):
-        if parent[h] in within:
-            within.add(h)
+
+    def below(top: int) -> set[int]:
+        found = {top}
+        for h in range(top + 1, len(parent)):
+            if parent[h] in found:
+                found.add(h)
+        return found
+
+    linked = lambda k: lines[k][2] * 2 > len(lines[k][0])
+    pages = ("#", "html", "body")
+    within = below(whole)
     chosen = [k for k in open_to if lines[k][3] in within]
-    if kind[whole] in ("#", "html", "body"):  # no element around the article: its region of lines, and prose beyond
+    if kind[whole] not in ("article", "main", *pages):  # what stands beside the marked text in elements around it
+        base = set(chosen)
+        h = parent[whole]
+        while kind[h] not in pages:
+            inner = below(h)
+            more = [k for k in open_to if lines[k][3] in inner and k not in base]
+            if sum(lines[k][2] for k in more) * 2 <= sum(len(lines[k][0]) for k in more):
+                within = inner
+            h = parent[h]
+        chosen = [
+            k for k in open_to
+            if k in base or (not linked(k) and (lines[k][3] in within or (kind[lines[k][3]] in pages and lines[k][4] in PROSE)))
+        ]
+    if kind[whole] in pages:  # no element around the article: its region of lines, and prose beyond
         marked = set(content)
         first, last = min(content), max(content)
         chosen = [
             k for k in chosen
-            if k in marked or ((first < k < last or lines[k][4] in PROSE) and lines[k][2] * 2 <= len(lines[k][0]))
+            if k in marked or ((first < k < last or lines[k][4] in PROSE) and not linked(k))
         ]
     return "\n\n".join(lines[k][0] for k in chosen)
 
