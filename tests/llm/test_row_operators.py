@@ -185,6 +185,31 @@ def test_scan_with_several_automata_and_wide_codes(spark, monkeypatch):
     assert want[0].items == ["3", "30"] and want[0].n_hit == 8
 
 
+def test_one_item_in_several_passes(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["one", "two", "three", "four"])
+    items = [(k % 3, " ".join(word() for _ in range(rng.choice([3, 14, 20])))) for k in range(12)]
+    bench = spark.createDataFrame([*items, *items[:4]], "item_id long, text string")
+    texts = [" ".join([t, word(), u]) for _, t in items for _, u in items]
+    df = table(spark, texts).withColumn("_held", F.lit("mine"))
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 150)
+    rows = decontaminate.scan_documents(df, bench).collect()
+    assert len(rows) == len(texts) and all(r["_held"] == "mine" for r in rows)
+    for r in rows:
+        n, hit, names = brute_scan(texts[r.doc_id], [(str(k), t) for k, t in items])
+        assert (r.n_words, r.n_hit, r.items) == (n, len(hit), names)
+
+
+def test_patterns_are_shorter_than_windows():
+    rng = random.Random(2)
+    items = [(str(k), [f"w{rng.randrange(3000)}".encode() for _ in range(100)]) for k in range(1000)]
+    found = decontaminate.Scanner(items, 13)
+    assert found.automaton.get_stats()["nodes_count"] < 3 * 100_000
+    k, at = 700, 40
+    ws = [b"x", *items[k][1][at : at + 13], b"y", *items[k][1][at : at + 12]]
+    assert found.scan(ws) == (set(range(1, 14)), {"700"})
+
+
 def test_scan_without_rows(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.scan_documents(table(spark, ODD), bench).where("n_hit > 0 or contaminated").count() == 0

@@ -17,15 +17,20 @@ __all__ = ["annotate", "cut", "drop", "new_folder", "once_a_process", "small_bat
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def once_a_process(key: tuple, make: Callable):
-    """``make()``, remembered by the Python worker for its later tasks."""
+def once_a_process(key: tuple, make: Callable, slot: str | None = None):
+    """``make()``, remembered by the Python worker for its later tasks.
+
+    Of one ``slot`` a worker remembers the latest only, so what was made for earlier queries goes.
+    """
     import sys
     import types
 
     held = sys.modules.setdefault("_tidewright_held", types.ModuleType("_tidewright_held")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    place = key if slot is None else slot
+    if place not in held or (slot is not None and held[place][0] != key):
+        held.pop(place, None)
+        held[place] = (key, make())
+    return held[place][1]
 
 
 def tidy(rows: Iterator, done: Callable[[], None] = lambda: None) -> Iterator:
