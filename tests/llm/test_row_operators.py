@@ -240,10 +240,61 @@ def test_phrases_equal_brute_force(first, second, text):
     assert found[1].tolist() == [1, 1]
 
 
-def test_phrases_end_with_segments():
+def test_phrases_go_on_across_segments():
     points = np.full(3000, ord("a"), np.uint32)
     parser = language_id.CrossParser(*language_id.compile_samples({"x": points}))
-    assert parser.phrases([points])[0, 0] == 3
+    assert parser.phrases([points])[0, 0] == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([1, 2, 3, 7, 50]))
+def test_segments_leave_no_trace(seed, segment):
+    rng = random.Random(seed)
+    make = lambda n: "".join(rng.choice("aab c") for _ in range(n))
+    points = lambda s: np.array([ord(c) for c in s], np.uint32)
+    first, second = make(rng.randint(1, 60)), make(rng.randint(1, 200))
+    texts = [make(rng.randint(1, 150)) + first * rng.randint(0, 2) + "d" * rng.randint(0, 2) for _ in range(4)]
+    parser = language_id.CrossParser(*language_id.compile_samples({"x": points(first), "y": points(second)}))
+    held, language_id.SEGMENT = language_id.SEGMENT, segment
+    try:
+        found = parser.phrases([points(t) for t in texts])
+    finally:
+        language_id.SEGMENT = held
+    assert found.tolist() == [[brute_phrases(t, first), brute_phrases(t, second)] for t in texts]
+
+
+def test_a_text_of_a_million_symbols():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    sample = np.array([ord(c) for c in " ".join(rng.choice(words) for _ in range(4000))], np.uint32)
+    text = np.array([ord(c) for c in " ".join(rng.choice(words) for _ in range(250_000))], np.uint32)[:1_000_000]
+    parser = language_id.CrossParser(*language_id.compile_samples({"x": sample}))
+    moves = language_id.suffix_automaton(sample.tolist())
+    phrases, state = 0, 0
+    for c in text.tolist():  # the same parse, a step at a time over the automaton's own transitions
+        if state == 0 or c not in moves[state]:
+            phrases += 1
+            state = 0
+        state = moves[state].get(c, 0)
+    assert len(text) == 1_000_000 and parser.phrases([text])[0, 0] == phrases
+
+
+def test_tables_grow_with_samples_not_alphabets():
+    rng = np.random.default_rng(1)
+    samples = {f"l{k}": rng.integers(200 * k, 200 * k + (5000 if k == 0 else 30), 10_000).astype(np.uint32) for k in range(20)}
+    names, points, table, roots, fresh, _ = language_id.compile_samples(samples)
+    assert len(points) > 4000 and table.nbytes + fresh.nbytes < 40 << 20
+    parser = language_id.CrossParser(*language_id.compile_samples(samples))
+    text = samples["l0"][500:700]
+    assert parser.phrases([text])[0, names.index("l0")] == 1 and len(roots) == 20
+
+
+def test_sample_takes_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCUMENTS", 3)
+    rows = [(k, "ab " * (2000 if k < 3 else 2), "x") for k in range(5)] + [(9, "ab " * 2000, "y"), (10, "ab " * 2000, "y"), (11, "  ", "z")]
+    found = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    # x: the two short documents (equal texts) and one long; y: its only text; z: nothing to learn
+    assert {k: len(v) for k, v in found.items()} == {"x": 6 + 1 + 6000 + 1, "y": 6000 + 1}
 
 
 def test_language_table(spark):

@@ -6,10 +6,16 @@ automaton holds; naming a phrase of a sample of N symbols takes log2(N) bits,
 so ``phrases * log2(N) / symbols`` is a cross entropy and the language with
 the least wins.
 
-The automata are compiled to one transition table whose entries hold the next
-state and the phrases ended by the step, so all texts of a batch, cut into
-segments, are parsed in lockstep by vector look-ups for all languages at once.
-A phrase also ends where a segment of ``SEGMENT`` symbols does.
+The automata are compiled to one sparse table: transitions of a state start at
+its offset, rows are laid over one another where they leave room, and each
+entry names the state it belongs to.  So memory grows with the samples, not
+with the alphabet, and a step is one look-up.  All texts of a batch are parsed
+in lockstep by vector look-ups for all languages at once.
+
+Long texts are parsed by segments at the same time, each as if a phrase began
+with it, and then joined without a trace: from where the phrase before really
+ends phrases are followed one by one until one begins where the segment's own
+parse has one too; from there on both are the same.
 """
 
 from __future__ import annotations
@@ -24,8 +30,9 @@ from pyspark.sql import types as T
 from tidewright.llm.common import annotate, once_a_process
 from tidewright.llm.words import batches
 
-#: Bounds of the labelled sample: documents a language, characters of each, symbols kept a language.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 96, 2048, 24_576
+#: The labelled sample: whole documents a language, by hash of their id; those of up to so many bytes come first.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 48, 4096
+#: Symbols of a long text that one row of the lockstep parse takes.
 SEGMENT = 1024
 UNKNOWN = "und"
 _POINTS = 0x110000
@@ -46,8 +53,8 @@ def _letters() -> np.ndarray:
     return once_a_process(("letters",), make)
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (state x symbol, -1: none) of the suffix automaton of ``codes``."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions {symbol: state} of every state of the suffix automaton of ``codes``; 0 is the root."""
     trans, link, length = [{}], [-1], [0]
     last = 0
     for c in codes:
@@ -73,68 +80,197 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     trans[p][c] = copy
                     p = link[p]
         last = new
-    table = np.full((len(trans), width), -1, np.int32)
+    return trans
+
+
+#: Places tried for a state's row before it goes behind all others, and left slots tried again for a single move.
+TRIES, HOLES = 24, 4
+
+
+def overlay(trans: list[dict[int, int]], width: int) -> tuple[np.ndarray, list[int]]:
+    """Entries (state offset << 32 | next state's offset), and each state's offset.
+
+    State s with offset o has its move by symbol c (below ``width``) at o + c; no two states share an offset.  States
+    with several moves are placed first, those with one fill the slots between.
+    """
+    room = 2 * sum(map(len, trans)) + 2 * len(trans) + 4 * width
+    used, taken = bytearray(room), bytearray(room)  # slots of entries; offsets
+    offset = [0] * len(trans)
+    low = high = width  # slots from which to search, and beyond which all are free
+    for s in sorted((s for s, m in enumerate(trans) if len(m) > 1), key=lambda s: (-len(trans[s]), s)):
+        moves = sorted(trans[s])
+        if high + 3 * width > len(used):
+            used.extend(bytes(room))
+            taken.extend(bytes(room))
+        low = used.find(0, low)
+        slot = low
+        for _ in range(TRIES):
+            at = slot - moves[0]
+            if not taken[at] and not any([used[at + c] for c in moves]):
+                break
+            slot = used.find(0, slot + 1)
+        else:
+            low += 1
+            at = high - moves[0]
+            while taken[at]:
+                at += 1
+        offset[s] = at
+        taken[at] = 1
+        for c in moves:
+            used[at + c] = 1
+        high = max(high, at + moves[-1] + 1)
+    for room_left in (used, taken):
+        room_left.extend(bytes(8 * len(trans) + width))
+    slot, holes = width - 1, []
     for s, moves in enumerate(trans):
+        if len(moves) != 1:
+            continue
+        (c,) = moves
+        for k in range(max(0, len(holes) - HOLES), len(holes)):
+            if not taken[holes[k] - c]:
+                here = holes.pop(k)
+                break
+        else:
+            slot = here = used.find(0, slot + 1)
+            while taken[here - c]:
+                holes.append(here)
+                slot = here = used.find(0, slot + 1)
+        offset[s] = here - c
+        taken[here - c] = used[here] = 1
+    for s, moves in enumerate(trans):
+        if not moves:
+            offset[s] = taken.find(0)
+            taken[offset[s]] = 1
+    table = np.full(max(offset) + width + 1, -1, np.int64)
+    for s, moves in enumerate(trans):
+        o = offset[s]
         for c, to in moves.items():
-            table[s, c] = to
-    return table
+            table[o + c] = o << 32 | offset[to]
+    return table, offset
 
 
 def compile_samples(samples: dict[str, np.ndarray]) -> tuple:
     """The parts of a ``CrossParser``: plain arrays, fit for a broadcast."""
     names = sorted(samples)
     points = np.unique(np.concatenate([samples[k] for k in names]))
-    code = np.zeros(_POINTS, np.uint16)  # 0: a symbol of no sample
-    code[points] = np.arange(1, len(points) + 1)
+    code = _codes(points)
     width = len(points) + 1
-    tables, roots, base = [], [], 0
+    tables, roots, fresh, base = [], [], [], 0
     for k in names:
-        t = suffix_automaton(code[samples[k]].tolist(), width)
-        root = t[0]
-        fresh = np.where(root >= 0, root, 0)  # a step that begins a new phrase
-        ended = np.where(root >= 0, 1, 2)
-        at_root = np.zeros((len(t), 1), bool)
-        at_root[0] = True
-        to = np.where(t >= 0, t, fresh[None, :])
-        more = np.where(t >= 0, 0, ended[None, :] - at_root)
-        tables.append(((to.astype(np.int64) + base) * width * 4 + more).ravel())
-        roots.append(base * width)
-        base += len(t)
-    table = np.concatenate(tables).astype(np.int32 if base * width * 4 < 2**31 else np.int64)
+        trans = suffix_automaton(code[samples[k]].tolist())
+        table, offset = overlay(trans, width)
+        first = np.full(width, offset[0], np.int64)  # a step that begins a new phrase; the root: no phrase goes on
+        for c, to in trans[0].items():
+            first[c] = offset[to]
+        tables.append(np.where(table >= 0, table + (base << 32 | base), -1))
+        roots.append(offset[0] + base)
+        fresh.append(first + base)
+        base += len(table)
     bits = np.array([math.log2(len(samples[k]) + 1) for k in names])
-    return names, code, table, np.array(roots, np.int64), bits
+    return names, points, np.concatenate(tables), np.array(roots), np.stack(fresh), bits
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """Number of every code point: 1.. for ``points``, 0 for others."""
+    code = np.zeros(_POINTS, np.int32)
+    code[points] = np.arange(1, len(points) + 1)
+    return code
 
 
 class CrossParser:
     """Automata of all languages in one table; predicts a language for each text."""
 
-    def __init__(self, names: list[str], code: np.ndarray, table: np.ndarray, roots: np.ndarray, bits: np.ndarray) -> None:
-        self.names, self.code, self.table, self.roots, self.bits = names, code, table, roots, bits
+    def __init__(self, names: list[str], points: np.ndarray, table: np.ndarray, roots: np.ndarray, fresh: np.ndarray, bits: np.ndarray) -> None:
+        self.names, self.code, self.table, self.roots, self.fresh, self.bits = names, _codes(points), table, roots, fresh, bits
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (array of code points), a column per language."""
-        lengths = np.array([len(t) for t in texts], np.int64)
-        codes = self.code[np.concatenate(texts)] if len(texts) else np.empty(0, np.uint16)
-        pieces = -(-lengths // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = np.repeat(np.cumsum(lengths) - lengths, pieces) + inner * SEGMENT
-        size = np.minimum(SEGMENT, np.repeat(lengths, pieces) - inner * SEGMENT)
+    def _parse(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases begun, state after it) of pieces of ``codes``, a column per language; marks where phrases begin."""
         order = np.argsort(-size, kind="stable")
-        begin, size, owner = begin[order], size[order], owner[order]
-        langs = len(self.names)
-        state = np.tile(self.roots, (len(owner), 1))
-        count = np.zeros((len(owner), langs), np.int64)
+        begin, size = begin[order], size[order]
+        state = np.tile(self.roots, (len(begin), 1))
+        count = np.zeros(state.shape, np.int64)
         live = np.searchsorted(-size, -np.arange(size.max(initial=0)), side="left")
         for step, n in enumerate(live.tolist()):
-            v = self.table[state[:n] + codes[begin[:n] + step][:, None]]
-            count[:n] += v & 3
-            state[:n] = v >> 2
-        count += state != self.roots
-        out = np.zeros((len(texts), langs), np.int64)
-        np.add.at(out, owner, count)
+            at = begin[:n] + step
+            c, now = codes[at], state[:n]
+            v = self.table[now + c[:, None]]
+            ends = (v >> 32) != now
+            begins = ends | (now == self.roots)
+            count[:n] += begins
+            if marks is not None:
+                marks[:, at] = begins.T
+            v &= 0xFFFFFFFF
+            row, lang = np.nonzero(ends)
+            v[row, lang] = self.fresh[lang, c[row]]
+            state[:n] = v
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return count[back], state[back]
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text (array of code points), a column per language."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        codes = self.code[np.concatenate(texts)].astype(np.int64) if len(texts) else np.empty(0, np.int64)
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros((len(texts), len(self.names)), np.int64)
+        short = np.flatnonzero(lengths <= SEGMENT)
+        out[short] = self._parse(codes, starts[short], lengths[short], None)[0]
+        long = np.flatnonzero(lengths > SEGMENT)
+        if len(long):
+            out[long] = self._joined(codes, starts[long], starts[long] + lengths[long])
         return out
 
+    def _joined(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Phrases of long texts ``codes[start:end]`` by language."""
+        langs = len(self.names)
+        pieces = -(-(ends - starts) // SEGMENT)
+        first = np.cumsum(pieces) - pieces
+        owner = np.repeat(np.arange(len(starts)), pieces)
+        begin = starts[owner] + (np.arange(len(owner)) - first[owner]) * SEGMENT
+        stop = np.minimum(begin + SEGMENT, ends[owner])
+        marks = np.zeros((langs, len(codes)), bool)
+        count, state = self._parse(codes, begin, stop - begin, marks)
+        # where the phrase that a segment leaves open ends
+        leave = np.repeat(stop[:, None], langs, 1)
+        row, lang = np.nonzero(state != self.roots)
+        now = state[row, lang]
+        while len(row):
+            at = leave[row, lang]
+            inside = at < ends[owner[row]]
+            row, lang, now, at = row[inside], lang[inside], now[inside], at[inside]
+            v = self.table[now + codes[at]]
+            goes = (v >> 32) == now
+            row, lang, now = row[goes], lang[goes], v[goes] & 0xFFFFFFFF
+            leave[row, lang] += 1
+        found = np.zeros((len(starts), langs), np.int64)
+        for t in range(len(starts)):
+            for k in range(langs):
+                x, total = int(starts[t]), 0
+                for s in range(first[t], first[t] + pieces[t]):
+                    end = int(stop[s])
+                    while x < end and not marks[k, x]:
+                        x = self._phrase(codes, x, int(ends[t]), k)
+                        total += 1
+                    if x < end:  # from here on the segment's own parse is the text's
+                        own = int(count[s, k])
+                        if x > begin[s]:
+                            own -= int(np.count_nonzero(marks[k, begin[s] : x]))
+                        total += own
+                        x = int(leave[s, k])
+                found[t, k] = total
+        return found
+
+    def _phrase(self, codes: np.ndarray, x: int, end: int, lang: int) -> int:
+        """Where the phrase of ``lang`` that begins at ``x`` ends."""
+        state, at = int(self.roots[lang]), x
+        while at < end:
+            v = int(self.table[state + codes[at]])
+            if v >> 32 != state:
+                break
+            state = v & 0xFFFFFFFF
+            at += 1
+        return max(at, x + 1)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         for part in batches(texts):
@@ -159,31 +295,35 @@ def held_out(id_col: str) -> Column:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Samples by language from the rows of ``labelled`` with a language and a text.
 
-    Of each language ``SAMPLE_DOCUMENTS`` documents, by hash of their id, give
-    ``SAMPLE_CHARS`` characters each, up to ``SAMPLE_SYMBOLS`` symbols: a bound
-    that does not depend on the table's size.
+    Of each language ``SAMPLE_DOCUMENTS`` whole documents by hash of their id,
+    those of more than ``SAMPLE_BYTES`` bytes only where there are too few
+    others: a bound that does not depend on the table's size.  Equal texts
+    count once.  Null languages, ids and texts, and texts without a symbol,
+    teach nothing.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    place = Window.partitionBy("lang").orderBy("long", F.xxhash64("id"), "id")
     chosen = (
-        rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+        rows.select(
+            F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), (F.octet_length(text_col) > SAMPLE_BYTES).alias("long")
+        )
         .withColumn("k", F.row_number().over(place))
         .where(F.col("k") <= SAMPLE_DOCUMENTS)
         .collect()
     )
-    ids = sorted({r["id"] for r in chosen})
+    wanted = {(r["lang"], r["id"]) for r in chosen}
     found = (
-        rows.where(F.col(id_col).isin(ids))
-        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
-        .distinct()
+        rows.where(F.col(id_col).isin(sorted({i for _, i in wanted})))
+        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .collect()
     )
-    samples: dict[str, list[np.ndarray]] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["id"], r["text"])):
-        held = samples.setdefault(r["lang"], [])
-        if sum(map(len, held)) < SAMPLE_SYMBOLS and len(s := symbols(r["text"])):
-            held += [s, np.array([0x20], np.uint32)]
-    return {k: np.concatenate(v)[:SAMPLE_SYMBOLS] for k, v in samples.items() if v}
+    texts: dict[str, set[str]] = {}
+    for r in found:
+        if (r["lang"], r["id"]) in wanted:
+            texts.setdefault(r["lang"], set()).add(r["text"])
+    space = np.array([0x20], np.uint32)
+    samples = {k: [s for t in sorted(v) if len(s := symbols(t))] for k, v in texts.items()}
+    return {k: np.concatenate([x for s in v for x in (s, space)]) for k, v in samples.items() if v}
 
 
 def identify(docs: DataFrame, samples: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
