@@ -232,6 +232,68 @@ def test_near_with_small_blocks(spark, monkeypatch):
     assert sorted(found, key=str) == brute_near(rows)
 
 
+def test_near_without_pruning_by_signatures(spark):
+    rows = near_rows(11, 120, edits=9)
+    found = [tuple(r) for r in near_duplicates(table(spark, rows), sigmas=None).collect()]
+    assert sorted(found, key=str) == brute_near(rows)
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12), st.sampled_from([50, 75, 100]))
+def test_links_stand_on_shingles(a, b, percent):
+    x, y = (near_dedup.shingles(near_dedup.words(" ".join(t))) for t in (a, b))
+    want = bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
+    assert (x, y) == (shingles_of(a), shingles_of(b)) and near_dedup.similar(x, y, percent) == want
+
+
+def shingles_of(ws):
+    return {tuple(w.encode() for w in ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def test_hashes_alone_make_no_link(spark, monkeypatch):
+    """With shingle hashes that all agree, pairs are still told apart by their shingles."""
+    rows = near_rows(5, 60)
+    real = near_dedup.similar
+    want = brute_near(rows)
+    monkeypatch.setattr(near_dedup, "jaccard_at_least", lambda a, b, percent: True)
+    found = [tuple(r) for r in near_duplicates(table(spark, rows), sigmas=None).collect()]
+    assert real is near_dedup.similar and sorted(found, key=str) == want
+
+
+def test_texts_of_template_pages_move_once(spark, monkeypatch):
+    """Pages that are half a template crowd the buckets; their texts go to no tile, nor more than once to be sketched."""
+    counts = {}
+    real = near_dedup.cut
+
+    def counting(df, label):
+        out = real(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", counting)
+    rng = random.Random(1)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(104)]
+    rows = [(k, " ".join(shared + [f"u{rng.randrange(10**7)}" for _ in range(50)])) for k in range(5000)]
+    assert near_duplicates(table(spark, rows).repartition(8)).where("not kept").count() == 0
+    assert counts["members"] > 5000 and counts["sketches"] <= 5000 and counts["texts"] <= 5000 and counts["tiles"] < 500
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of a similarity of 0.75 to 0.8 are found."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        copy = list(base)
+        at = rng.sample(range(10, 190, 6), rng.choice([4, 5]))
+        for j in at:
+            copy[j] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    want = brute_near(rows)
+    found = sorted([tuple(r) for r in near_duplicates(table(spark, rows)).collect()], key=str)
+    linked = sum(not r[3] for r in want)
+    assert linked > 200 and sum(not r[3] for r in found) >= 0.99 * linked
+
+
 def test_near_ties_repeats_and_empty(spark):
     text = " ".join(f"t{k}" for k in range(40))
     rows = [(5, text), (5, text), (4, text.upper()), (9, "other words in a row here"), (9, text)]

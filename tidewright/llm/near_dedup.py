@@ -1,29 +1,37 @@
 """Near-duplicate groups: SuperMinHash, banding, verification, union-find.
 
-1. One pass over the texts makes each document's shingle set size, a 128-bit
-   digest of the set and the bucket keys of its bands.  Documents with equal
-   sets form a class; the least ``doc_id`` stands for it, so copies never meet
-   pair by pair.
-2. Every bucket links its members to its least member (a star, not all pairs);
-   the links are confirmed on the full sets and give first components.
-3. A bucket whose members are still in several components is searched in full,
-   in blocks of bounded size: members outside its largest component against
-   all members, skipping pairs already connected.  Signature agreement prunes
-   (far below the threshold, see ``ESTIMATE``), full sets confirm.
+1. One pass over the texts makes each document's shingle set size, a SHA-256
+   digest of its words, the bucket keys of its bands and its signature at one
+   byte a place.  Documents of equal words form a class; the least ``doc_id``
+   stands for it, so copies never meet pair by pair.
+2. Every bucket links its members to its least member (a star, not all pairs).
+   Sizes and signature bytes prune the links; only then texts move, once a
+   link, and the links are confirmed on the shingles themselves.  They give
+   first components.
+3. A bucket whose members are still in several components is searched in full:
+   members outside its largest component against all members.  Wider signatures
+   of those documents, compared in blocks, find the pairs of different
+   components that may be similar; texts go only to the tiles of
+   ``BLOCK_MEMBERS`` by ``BLOCK_MEMBERS`` members that hold such a pair, where
+   pairs already connected are skipped.
 4. Components of all confirmed links.
 
 No bucket is capped or skipped: a link is missed only when a pair shares no
-band, with probability (1 - 0.75^4)^36 = 1e-6 at the threshold itself.
+band, with probability (1 - 0.75^4)^36 = 1e-6 at the threshold itself, or when
+its signatures agree in ``SIGMAS`` standard deviations less of their places
+than those of a pair at the threshold do on average (3e-8; ``sigmas=None``
+prunes nothing by signatures).  Candidates are found by 64-bit shingle hashes,
+links stand on the shingles themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,77 +39,122 @@ from pyspark.sql import types as T
 from tidewright.llm.common import annotate, cut, drop, small_batches, tidy, with_hash
 from tidewright.llm.components import UnionFind, connected_components
 from tidewright.llm.superminhash import (
+    SHINGLE,
     band_keys,
     batches,
     jaccard_at_least,
-    set_digests,
     shingle_sets,
+    signature_bytes,
     signatures,
 )
 
 #: Documents of one file of a table, at least: small inputs make few files.
 FILE_DOCUMENTS = 5_000
-#: Steps of numbers that are read again are cached on disk; a lost executor's part is made anew from its lineage.
-DISK = StorageLevel.DISK_ONLY
 BANDS, ROWS = 36, 4
 PLACES = BANDS * ROWS
 PERCENT = 75
-#: A pair whose signatures agree in a lower share has J < 0.75 but for 5.5 standard deviations.
-ESTIMATE = 0.55
-#: Members, and shingles, of one side of a block comparison.
+#: Places of the wider signatures, and standard deviations of the estimate that pruning by signatures allows.
+WIDE_PLACES, SIGMAS = 512, 5.5
+#: Members, and shingles, of one side of a tile in which texts are compared.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 2_000_000
-#: Shingles that a task keeps for sets it meets again.
+#: Blocks of one side whose signatures are compared at a time.
+WIDE = 64
+#: Shingle hashes that a task keeps for sets it meets again.
 CACHE_SHINGLES = 4_000_000
 
 
+def words(text: str | None) -> list[bytes]:
+    """Words of a text: runs without ASCII white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def digest(ws: list[bytes]) -> bytes:
+    """SHA-256 of the word sequence."""
+    return hashlib.sha256(b" ".join(ws)).digest()
+
+
+def _short(full: bytes) -> int:
+    """The part of a digest that tells apart the texts of one id."""
+    return int.from_bytes(full[:8], "big", signed=True)
+
+
+def shingles(ws: list[bytes]) -> set[tuple[bytes, ...]]:
+    """The distinct shingles themselves; the whole sequence of fewer words; none without words."""
+    if len(ws) < SHINGLE:
+        return {tuple(ws)} if ws else set()
+    return set(zip(*[ws[k:] for k in range(SHINGLE)], strict=False))
+
+
+def similar(a: set, b: set, percent: int) -> bool:
+    """Whether 100 * |a n b| >= percent * |a u b|; an empty set is similar to none."""
+    if not a or not b or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def least_agreement(percent: int, places: int, sigmas: float | None) -> float:
+    """Share of equal signature places below which a pair is taken to be under the threshold."""
+    j = percent / 100
+    return 0.0 if sigmas is None else max(0.0, j - sigmas * (j * (1 - j) / places) ** 0.5)
+
+
+def _sketch(places: int):
+    def make():
+        def kernel(texts: list[str | None]) -> list[list]:
+            return [[b for part in batches(texts) for b in signature_bytes(signatures(*shingle_sets(texts[part]), places))]]
+
+        return kernel
+
+    return make
+
+
 def _sign(places: int, bands: int, rows: int):
     def make():
         def kernel(texts: list[str | None]) -> list[list]:
-            sizes, d1, d2, keys = [], [], [], []
+            sizes, marks, keys, sigs = [], [], [], []
             for part in batches(texts):
                 elements, n = shingle_sets(texts[part])
-                a, b = set_digests(elements, n)
-                k = band_keys(signatures(elements, n, places), bands, rows)
+                sig = signatures(elements, n, places)
                 sizes += n.tolist()
-                d1 += a.view(np.int64).tolist()
-                d2 += b.view(np.int64).tolist()
-                keys += list(k.view(np.int64))
-            return [sizes, d1, d2, keys]
+                keys += list(band_keys(sig, bands, rows).view(np.int64))
+                sigs += signature_bytes(sig)
+                marks += [digest(words(t)) for t in texts[part]]
+            return [sizes, marks, [_short(m) for m in marks], keys, sigs]
 
         return kernel
 
     return make
 
 
-class _Sets:
-    """Sets and signatures of recently met documents."""
+def _short_digests():
+    return lambda texts: [[_short(digest(words(t))) for t in texts]]
 
-    def __init__(self) -> None:
-        self.held: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
-        self.size = 0
 
-    def get(self, ids: list[int], texts: list[str | None]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        found = {i: self.held[i] for i in ids if i in self.held}
-        todo = {i: t for i, t in zip(ids, texts, strict=True) if i not in found}
-        names, rest = list(todo), list(todo.values())
-        for part in batches(rest):
-            elements, n = shingle_sets(rest[part])
-            sig = signatures(elements, n, PLACES)
-            for i, s, g in zip(names[part], np.split(elements, np.cumsum(n)[:-1]), sig, strict=True):
-                found[i] = self.held[i] = (s, g)
-                self.size += len(s)
-        while self.size > CACHE_SHINGLES and len(self.held) > 1:
-            self.size -= len(self.held.popitem(last=False)[1][0])
-        return found
+def _agreeing(estimate: float):
+    """Pairs whose signatures agree in a share of ``estimate`` at least."""
+
+    def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in found:
+            if len(rows):
+                a, b = (np.frombuffer(b"".join(rows[k]), np.uint8).reshape(len(rows), -1) for k in ("sig_u", "sig_v"))
+                rows = rows[(a == b).mean(axis=1) >= estimate]
+            yield rows[["u", "du", "v", "dv"]]
+
+    return run
+
 
+def _confirm(percent: int):
+    """Links whose shingles reach the threshold; rows come sorted by their first end."""
 
-def _confirm_stars(percent: int):
     def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = _Sets()
+        last, held = None, set()
         for rows in found:
-            a, b = rows["u"].tolist(), rows["v"].tolist()
-            have = sets.get(a + b, rows["text_u"].tolist() + rows["text_v"].tolist())
-            good = [jaccard_at_least(have[x][0], have[y][0], percent) for x, y in zip(a, b, strict=True)]
+            good = []
+            for u, du, t, s in zip(rows["u"], rows["du"], rows["text_u"], rows["text_v"], strict=True):
+                if (u, du) != last:
+                    last, held = (u, du), shingles(words(t))
+                good.append(similar(held, shingles(words(s)), percent))
             yield rows.loc[good, ["u", "v"]]
 
     return run
@@ -111,6 +164,27 @@ def _tidied(run):
     return lambda found: tidy(run(found))
 
 
+class _Sets:
+    """Hashed sets of recently met documents."""
+
+    def __init__(self) -> None:
+        self.held: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+        self.size = 0
+
+    def get(self, names: list[tuple[int, int]], texts: list[str | None]) -> dict[tuple[int, int], np.ndarray]:
+        found = {i: self.held[i] for i in names if i in self.held}
+        todo = {i: t for i, t in zip(names, texts, strict=True) if i not in found}
+        new, rest = list(todo), list(todo.values())
+        for part in batches(rest):
+            elements, n = shingle_sets(rest[part])
+            for i, s in zip(new[part], np.split(elements, np.cumsum(n)[:-1]), strict=True):
+                found[i] = self.held[i] = s
+                self.size += len(s)
+        while self.size > CACHE_SHINGLES and len(self.held) > 1:
+            self.size -= len(self.held.popitem(last=False)[1])
+        return found
+
+
 def _groups(found: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Runs of equal keys of sorted rows, across batches."""
     held: list[pd.DataFrame] = []
@@ -132,27 +206,72 @@ def _groups(found: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield pd.concat(held)
 
 
-def _search_blocks(percent: int):
+class _Side:
+    """One side of a block: its members' columns as arrays."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.rows = rows
+        self.comp, self.size = rows["comp"].to_numpy(np.int64), rows["size"].to_numpy(np.int64)
+        self.sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+
+    def near(self, comp: int, size: int, sig: np.ndarray, percent: int, estimate: float) -> np.ndarray:
+        """Members of other components that may be similar, the likeliest first."""
+        fits = (self.comp != comp) & (100 * np.minimum(self.size, size) >= percent * np.maximum(self.size, size))
+        at = np.flatnonzero(fits)
+        share = (self.sigs[at] == sig).mean(axis=1)
+        good = share >= estimate
+        return at[good][np.argsort(-share[good], kind="stable")]
+
+
+_TILE = "bucket long, i int, j int, id long, d long, comp long, size long, role int, sig binary"
+
+
+def _promising(percent: int, estimate: float):
+    """Members of a wide block that the tiles (i, j) need: both ends of every pair that may be similar."""
+    names = [c.split()[0] for c in _TILE.split(", ")]
+
+    def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(found, ["bucket", "wide_i", "wide_j"]):
+            everyone, outside = _Side(group[group["role"] != 1]), _Side(group[group["role"] != 0])
+            mine, theirs = outside.rows["f"].to_numpy(), everyone.rows["f"].to_numpy()
+            firsts: set[tuple[int, int, int]] = set()  # (i, j, place)
+            seconds: set[tuple[int, int, int]] = set()
+            for k in range(len(mine)):
+                near = everyone.near(outside.comp[k], outside.size[k], outside.sigs[k], percent, estimate)
+                i = int(mine[k])
+                js = theirs[near].tolist()
+                firsts.update((i, j, k) for j in set(js))
+                seconds.update((i, j, y) for j, y in zip(js, near.tolist(), strict=True))
+            for side, chosen, role in ((outside, firsts, 1), (everyone, seconds, 0)):
+                if chosen:
+                    at = np.array(sorted(chosen))
+                    yield side.rows.iloc[at[:, 2]].assign(i=at[:, 0], j=at[:, 1], role=role)[names]
+
+    return run
+
+
+def _search_tiles(percent: int, estimate: float):
+    """Links between components in a tile."""
+
     def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = _Sets()
         for group in _groups(found, ["bucket", "i", "j"]):
-            ids = group["id"].tolist()
-            comp = dict(zip(ids, group["comp"].tolist(), strict=True))
-            have = sets.get(ids, group["text"].tolist())
-            everyone = sorted(set(group.loc[group["role"] != 1, "id"].tolist()))
-            outside = sorted(set(group.loc[group["role"] != 0, "id"].tolist()))
-            sizes = np.array([len(have[x][0]) for x in everyone])
-            sigs = np.stack([have[x][1] for x in everyone]) if everyone else np.empty((0, PLACES), np.uint64)
+            names = list(zip(group["id"].tolist(), group["d"].tolist(), strict=True))
+            texts = dict(zip(names, group["text"].tolist(), strict=True))
+            have = sets.get(names, group["text"].tolist())
+            everyone, outside = _Side(group[group["role"] == 0]), _Side(group[group["role"] == 1])
+            ids = list(zip(everyone.rows["id"].tolist(), everyone.rows["d"].tolist(), strict=True))
             links, out = UnionFind(), []
-            for x in outside:
-                mine, sig = have[x]
-                near = np.flatnonzero((100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))))
-                share = (sigs[near] == sig).mean(axis=1)
-                for k in near[share >= ESTIMATE][np.argsort(-share[share >= ESTIMATE])].tolist():
-                    y = everyone[k]
-                    if links.find(comp[x]) != links.find(comp[y]) and jaccard_at_least(mine, have[y][0], percent):
-                        links.union(comp[x], comp[y])
-                        out.append((x, y))
+            for k, x in enumerate(zip(outside.rows["id"].tolist(), outside.rows["d"].tolist(), strict=True)):
+                own = None
+                for y in everyone.near(outside.comp[k], outside.size[k], outside.sigs[k], percent, estimate).tolist():
+                    a, b = int(outside.comp[k]), int(everyone.comp[y])
+                    if links.find(a) == links.find(b) or not jaccard_at_least(have[x], have[ids[y]], percent):
+                        continue
+                    own = shingles(words(texts[x])) if own is None else own
+                    if similar(own, shingles(words(texts[ids[y]])), percent):
+                        links.union(a, b)
+                        out.append((x[0], ids[y][0]))
             if out:
                 yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
@@ -160,7 +279,11 @@ def _search_blocks(percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    percent: int = PERCENT,
+    sigmas: float | None = SIGMAS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -174,58 +297,56 @@ def near_duplicates(
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(
-        annotate(
-            base,
-            ["text"],
-            [
-                T.StructField("n_shingles", T.LongType()),
-                T.StructField("d1", T.LongType()),
-                T.StructField("d2", T.LongType()),
-                T.StructField("keys", T.ArrayType(T.LongType())),
-            ],
-            _sign(PLACES, BANDS, ROWS),
-            keep=["id"],
-        ),
-        "signed",
-    )
+    fields = [
+        T.StructField("n_shingles", T.LongType()),
+        T.StructField("digest", T.BinaryType()),
+        T.StructField("d", T.LongType()),
+        T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("sig", T.BinaryType()),
+    ]
+    signed = cut(annotate(base, ["text"], fields, _sign(PLACES, BANDS, ROWS), keep=["id"]), "signed")
+    files = 1 + signed.count() // FILE_DOCUMENTS
     known = signed.where("id is not null and n_shingles > 0")
-    same = ["n_shingles", "d1", "d2"]
-    classes = with_hash(known.groupBy(*same).agg(F.min("id").alias("cid")), *same).persist(DISK)
+    classes = cut(known.groupBy("digest").agg(F.min("id").alias("cid")).coalesce(files), "classes")
+    hashed = with_hash(classes, "digest")
     # rows of one id with several texts: each text's class, tied together
-    apart = with_hash(known, *same).join(classes, [*same, "_h"]).select("id", "cid")
-    standing = known.join(classes.select(*same, F.col("cid").alias("id")), [*same, "id"], "left_semi")
-    rows = standing.dropDuplicates(["id", "d1", "d2"]).select(
-        F.explode("keys").alias("bucket"), "id", F.col("n_shingles").alias("size")
-    )
-    crowded = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    several = known.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select("id")
+    apart = with_hash(known.select("id", "digest").join(several, "id"), "digest").join(hashed, ["digest", "_h"]).select("id", "cid")
+    low = apart.groupBy("id").agg(F.min("cid").alias("low"))
+    ties = apart.join(low, "id").where("cid != low").select(F.col("low").alias("u"), F.col("cid").alias("v"))
+    # one row stands for a class
+    standing = known.join(classes.select("digest", F.col("cid").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"])
+    rows = standing.select(F.explode("keys").alias("bucket"), "id", "d", F.col("n_shingles").alias("size"))
+    crowded = rows.groupBy("bucket").agg(F.min(F.struct("id", "d", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     met = with_hash(rows, "bucket").join(with_hash(crowded.select("bucket", "hub"), "bucket"), ["bucket", "_h"])
-    files = 1 + signed.count() // FILE_DOCUMENTS
     members = cut(met.drop("_h").coalesce(files), "members")
+    sigs = cut(standing.select("id", "d", "sig").join(members.select("id", "d").distinct(), ["id", "d"], "left_semi").coalesce(files), "signatures")
 
-    ids = members.select("id").distinct()
-    texts = cut(base.join(ids, "id", "left_semi").coalesce(files), "texts")
-    stars = members.where("id != hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
+    fits = F.lit(100) * F.least("size", "hub.size") >= F.lit(percent) * F.greatest("size", "hub.size")
+    stars = members.where((F.col("id") != F.col("hub.id")) & fits).select(
+        F.col("hub.id").alias("u"), F.col("hub.d").alias("du"), F.col("id").alias("v"), F.col("d").alias("dv")
+    )
+    sides = stars.distinct().join(sigs.toDF("v", "dv", "sig_v"), ["v", "dv"]).join(sigs.toDF("u", "du", "sig_u"), ["u", "du"])
+    edges = cut(sides.mapInPandas(_tidied(_agreeing(least_agreement(percent, PLACES, sigmas))), "u long, du long, v long, dv long").coalesce(files), "edges")
+    ends = edges.select(F.col("u").alias("id"), F.col("du").alias("d")).union(edges.select("v", "dv")).distinct()
+    texts = cut(_texts(base, ends, files), "texts")
     paired = (
-        stars.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-        .join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-        .select("u", "v", "text_u", "text_v")
-        .sortWithinPartitions("u")
+        edges.join(texts.toDF("v", "dv", "text_v"), ["v", "dv"])
+        .join(texts.toDF("u", "du", "text_u"), ["u", "du"])
+        .select("u", "du", "text_u", "text_v", "v")
+        .sortWithinPartitions("u", "du")
     )
-    several = apart.groupBy("id").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high")
-    ties = apart.join(several, "id").where("cid != low").select(F.col("low").alias("u"), F.col("cid").alias("v"))
-    links = paired.mapInPandas(_tidied(_confirm_stars(percent)), "u long, v long").union(ties).persist(DISK)
+    links = cut(paired.mapInPandas(_tidied(_confirm(percent)), "u long, v long").union(ties).coalesce(files), "links")
+    drop(edges, texts, sigs)
     first = connected_components(links)
-    more = _leftover(members, first, texts, percent).persist(DISK)
+    more = _leftover(members, first, base, percent, least_agreement(percent, WIDE_PLACES, sigmas), files)
     final = connected_components(links.union(more))
     named = classes.join(final.withColumnRenamed("id", "cid"), "cid", "left").select(
-        *same, "_h", F.coalesce("component", "cid").alias("component_id")
+        "digest", F.coalesce("component", "cid").alias("component_id")
     )
-    named = cut(named.coalesce(files), "named")
-    for held in (classes, links, more):
-        held.unpersist()
-    drop(members, texts, first, final)
-    out = with_hash(signed.select("id", *same), *same).join(named, [*same, "_h"], "left")
+    named = cut(with_hash(named, "digest").coalesce(files), "named")
+    drop(classes, members, links, first, more, final)
+    out = with_hash(signed.select("id", "n_shingles", "digest"), "digest").join(named, ["digest", "_h"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(
         F.when(F.col("id").isNotNull(), F.col("component_id"))
     )
@@ -237,13 +358,20 @@ def near_duplicates(
     )
 
 
-def _leftover(members: DataFrame, first: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside the buckets that hold several."""
+def _texts(base: DataFrame, wanted: DataFrame, files: int) -> DataFrame:
+    """(id, d, text) of the documents in ``wanted`` (id, d), once each."""
+    mine = base.join(wanted.select("id").distinct(), "id", "left_semi")
+    marked = annotate(mine, ["text"], [T.StructField("d", T.LongType())], _short_digests)
+    return marked.join(wanted, ["id", "d"], "left_semi").dropDuplicates(["id", "d"]).select("id", "d", "text").coalesce(files)
+
+
+def _leftover(members: DataFrame, first: DataFrame, base: DataFrame, percent: int, estimate: float, files: int) -> DataFrame:
+    """Links between components inside the buckets that hold several, as a table."""
     named = members.join(first, "id", "left").select(
-        "bucket", "id", "size", F.coalesce("component", "id").alias("comp")
+        "bucket", "id", "d", "size", F.coalesce("component", "id").alias("comp")
     )
     parts = named.groupBy("bucket", "comp").agg(
-        F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("id")).alias("digest")
+        F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("id", "d")).alias("digest")
     )
     split = (
         parts.groupBy("bucket")
@@ -268,24 +396,38 @@ def _leftover(members: DataFrame, first: DataFrame, texts: DataFrame, percent: i
         blocks(F.col("n"), F.col("size")).alias("nb"),
         blocks(F.col("n") - F.col("one.main.n"), F.col("size") - F.col("one.main.size")).alias("sb"),
     )
-    side = named.join(wanted, "bucket")
-    spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    side = cut(named.join(wanted, "bucket").coalesce(files), "side")
+    asked = _texts(base, side.select("id", "d").distinct(), files)
+    sketched = annotate(asked, ["text"], [T.StructField("sig", T.BinaryType())], _sketch(WIDE_PLACES), keep=["id", "d"])
+    sketches = cut(sketched, "sketches")
+    full = side.join(sketches, ["id", "d"])
+    spread = lambda n: F.pmod(F.xxhash64("id", "d"), n).cast("int")
     single = (F.col("nb") == 1) & (F.col("sb") == 1)
     outside = F.col("comp") != F.col("main")
-    span = lambda n: F.sequence(F.lit(0), n - 1)
-    as_any = side.select(
-        "bucket", F.explode(span(F.col("sb"))).alias("i"), spread(F.col("nb")).alias("j"), "id", "comp",
-        F.when(single & outside, 2).otherwise(0).alias("role"),
+    span = lambda n: F.sequence(F.lit(0), F.floor((n - 1) / WIDE).cast("int"))
+    wide = lambda f: F.floor(f / WIDE).cast("int")
+    carried = ["id", "d", "comp", "size", "sig"]
+    as_any = full.select(
+        "bucket", F.explode(span(F.col("sb"))).alias("wide_i"), wide(spread(F.col("nb"))).alias("wide_j"),
+        spread(F.col("nb")).alias("f"), *carried, F.when(single & outside, 2).otherwise(0).alias("role"),
     )
-    as_outside = side.where(outside & ~single).select(
-        "bucket", spread(F.col("sb")).alias("i"), F.explode(span(F.col("nb"))).alias("j"), "id", "comp",
-        F.lit(1).alias("role"),
+    as_outside = full.where(outside & ~single).select(
+        "bucket", wide(spread(F.col("sb"))).alias("wide_i"), F.explode(span(F.col("nb"))).alias("wide_j"),
+        spread(F.col("sb")).alias("f"), *carried, F.lit(1).alias("role"),
     )
-    tasks = as_any.union(as_outside)
-    return (
-        tasks.join(texts, "id")
+    tasks = (
+        as_any.union(as_outside)
+        .repartition("bucket", "wide_i", "wide_j")
+        .sortWithinPartitions("bucket", "wide_i", "wide_j")
+    )
+    tiles = cut(tasks.mapInPandas(_tidied(_promising(percent, estimate)), _TILE).coalesce(files), "tiles")
+    texts = _texts(base, tiles.select("id", "d").distinct(), files)
+    found = (
+        tiles.join(texts, ["id", "d"])
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
-        .select("bucket", "i", "j", "id", "comp", "role", "text")
-        .mapInPandas(_tidied(_search_blocks(percent)), "u long, v long")
+        .mapInPandas(_tidied(_search_tiles(percent, estimate)), "u long, v long")
     )
+    links = cut(found.coalesce(files), "more-links")
+    drop(side, sketches, tiles)
+    return links

@@ -123,16 +123,10 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def set_digests(elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit digests of each set."""
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    out = []
-    for salt in (1, 2):
-        v = mix(elements ^ times(salt))
-        total = np.concatenate(([np.uint64(0)], np.cumsum(v, dtype=np.uint64)))
-        out.append(mix(total[ends] - total[starts] + sizes.astype(np.uint64)))
-    return out[0], out[1]
+def signature_bytes(sig: np.ndarray) -> list[bytes]:
+    """Each signature at one byte a place: equal places have equal bytes, others do with probability 1/256."""
+    small = (mix(sig) & np.uint64(0xFF)).astype(np.uint8)
+    return [row.tobytes() for row in small]
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -148,4 +142,4 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-__all__ = ["band_keys", "batches", "jaccard_at_least", "set_digests", "shingle_sets", "signatures"]
+__all__ = ["band_keys", "batches", "jaccard_at_least", "shingle_sets", "signature_bytes", "signatures"]
