@@ -120,6 +120,29 @@ def test_trie_counts_equal_plain_programming(pieces, texts):
     assert trie.count_all([t.split() for t in texts]) == [brute_tokens(t, pieces) for t in texts]
 
 
+def test_counts_within_small_bounds(pieces, monkeypatch):
+    """However few nodes and pre-tokens are held, and however long pre-tokens are, the counts are the same."""
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("theringand é漢🙂") for _ in range(n))
+    texts = [" ".join([make(30), make(400), "word " * 40, make(3)]) for _ in range(12)]
+    for name, least in (("NODES", 50), ("TOKENS", 5), ("PART", 7), ("LONGEST", 9)):
+        monkeypatch.setattr(token_counts, name, least)
+    trie = token_counts.PrefixTrie(pieces)
+    for t in texts:
+        assert trie.count_text(t) == (len(t.split()), brute_tokens(t, pieces))
+        assert len(trie.moves) <= 50 + 7 * 10 and len(trie.counts) <= 5 + 7
+
+
+def test_very_long_texts_and_pretokens(pieces):
+    trie = token_counts.PrefixTrie(pieces)
+    rng = random.Random(7)
+    tokens = ["".join(rng.choice("abcdefgh") for _ in range(10_000)) for _ in range(20)]
+    found = trie.count_text(" \n".join(tokens))
+    assert found == (20, sum(trie.long_count(t) for t in tokens)) and len(trie.moves) == 1 and not trie.counts
+    text = "some words of a text\u00a0and\x1cmore " * 40_000
+    assert len(text) > 1 << 20 and trie.count_text(text) == (len(text.split()), 40_000 * trie.count_text(text[:30])[1])
+
+
 def test_prefixes_are_shared(pieces):
     trie = token_counts.PrefixTrie(pieces)
     trie.insert("therein")
