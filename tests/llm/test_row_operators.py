@@ -461,6 +461,47 @@ def test_trees_learn_what_urls_tell(spark):
     assert right / len(found) > 0.95
 
 
+def test_held_out_urls(spark):
+    """Few allowed among many blocked: both are recognised in the held-out fold, whatever their numbers."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    labelled = url_filter.ruled_urls(pages).where("rule is not null").withColumn("label", (F.col("by_rule") == "block").cast("double"))
+    shares = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    assert shares[1.0] > 5 * shares[0.0]
+    found = url_filter.fit(labelled)
+    print(found.cutoff, found.auc, found.block_recall, found.allow_recall)
+    assert found.auc > 0.9 and found.allow_recall > 0.8 and found.block_recall > 0.8
+
+
+def test_measures_equal_plain_counting(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(12) / 12, float(rng.random() < 0.6)) for _ in range(80)]
+    cutoff, auc, block, allow = url_filter._measured(spark.createDataFrame(rows, "p double, label double"))
+    blocked, allowed = [p for p, v in rows if v], [p for p, v in rows if not v]
+    assert auc == pytest.approx(np.mean([(b > a) + (b == a) / 2 for b in blocked for a in allowed]))
+    recalls = lambda c: (sum(p > c for p in blocked) / len(blocked), sum(p <= c for p in allowed) / len(allowed))
+    assert recalls(cutoff) == pytest.approx((block, allow))
+    assert block + allow == pytest.approx(max(sum(recalls(p)) for p, _ in rows))
+    assert url_filter._measured(spark.createDataFrame([(0.1, 1.0)], "p double, label double")) is None
+
+
+def test_statistics_of_very_many_suffixes(spark):
+    """600 domains, half of them blocked: each has statistics of its own, and none of its own URL's label."""
+    rows = [(k, f"http://a{j}.d{k}.net/p/{k * 7 + j}") for k in range(600) for j in range(8)]
+    df = spark.createDataFrame([(8 * k + i % 8, u) for i, (k, u) in enumerate(rows)], "page_id long, url string")
+    parts = url_filter.ruled_urls(df, ())
+    labelled = parts.withColumn("label", (F.regexp_extract("host", r"d(\d+)", 1).cast("int") % 2).cast("double"))
+    found = url_filter.fit(labelled)
+    assert found.seen.select("domain").distinct().count() == 600 and found.auc > 0.95
+    rated = url_filter._with_rates(found.seen.withColumn("host", F.lit("")), found.seen, True)
+    want = {}
+    for r in found.seen.collect():
+        want.setdefault((r.domain, r.fold), []).append((r.weight, r.label))
+    for r in rated.select("domain", "fold", "domain_rate").distinct().collect():
+        others = [x for (d, f), v in want.items() if d == r.domain and f != r.fold for x in v]
+        n, b = sum(w for w, _ in others), sum(w * y for w, y in others)
+        assert r.domain_rate == pytest.approx((b + 1.0) / (n + 2.0))
+
+
 def test_no_python_in_the_url_plan(spark):
     plan = QUERIES["op10_url_filter"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -13,7 +13,7 @@ from tidewright.llm.language_id import held_out, identify, learn
 from tidewright.llm.near_dedup import near_duplicates
 from tidewright.llm.resampling import resample
 from tidewright.llm.token_counts import count_tokens
-from tidewright.llm.url_filter import judge
+from tidewright.llm.url_filter import RULES, judge, ruled_urls
 from tidewright.llm.warc import read_records, write_archives
 
 #: Share of the corpus that importance resampling draws.
@@ -82,6 +82,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_url_filter decides by rules alone."""
+    judged = ruled_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "by_rule")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,10 +101,18 @@ QUERIES = {
         op8_warc,
         op9_minhash,
         op10_url_filter,
+        url_rules,
     )
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HOST = "translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Longer rules first; no two of one length fit one URL.
+_FITS = " ".join(
+    f"WHEN (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}') THEN '{r}'"
+    for r, _ in sorted(RULES, key=lambda x: -len(x[0]))
+)
+_SAYS = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES)
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES = {
@@ -143,6 +157,11 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id <> least THEN least END AS refers_to
 FROM g
+""",
+    "url_rules": rf"""
+WITH p AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE {_FITS} END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE rule {_SAYS} END AS by_rule FROM r
 """,
     "op9_minhash": rf"""
 WITH RECURSIVE w AS (
