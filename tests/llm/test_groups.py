@@ -274,7 +274,7 @@ def test_texts_of_template_pages_move_once(spark, monkeypatch):
     shared = [f"s{rng.randrange(10**6)}" for _ in range(104)]
     rows = [(k, " ".join(shared + [f"u{rng.randrange(10**7)}" for _ in range(50)])) for k in range(5000)]
     assert near_duplicates(table(spark, rows).repartition(8)).where("not kept").count() == 0
-    assert counts["members"] > 5000 and counts["sketches"] <= 5000 and counts["texts"] <= 5000 and counts["tiles"] < 500
+    assert counts["members"] > 5000 and counts["texts"] <= 5000 and counts["edges"] + counts["tiles"] < 500
 
 
 def test_recall_near_the_threshold(spark):

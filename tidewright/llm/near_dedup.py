@@ -1,19 +1,20 @@
 """Near-duplicate groups: SuperMinHash, banding, verification, union-find.
 
 1. One pass over the texts makes each document's shingle set size, a SHA-256
-   digest of its words, the bucket keys of its bands and its signature at one
-   byte a place.  Documents of equal words form a class; the least ``doc_id``
-   stands for it, so copies never meet pair by pair.
+   digest of its words and the bucket keys of its bands.  Documents of equal
+   words form a class; the least ``doc_id`` stands for it, so copies never meet
+   pair by pair.  Those that share a bucket get a wider signature, of one byte a
+   place, and their texts are put in a table.
 2. Every bucket links its members to its least member (a star, not all pairs).
-   Sizes and signature bytes prune the links; only then texts move, once a
-   link, and the links are confirmed on the shingles themselves.  They give
+   Sizes and signature bytes prune the links; only then texts are joined to
+   them, and the links are confirmed on the shingles themselves.  They give
    first components.
 3. A bucket whose members are still in several components is searched in full:
-   members outside its largest component against all members.  Wider signatures
-   of those documents, compared in blocks, find the pairs of different
-   components that may be similar; texts go only to the tiles of
-   ``BLOCK_MEMBERS`` by ``BLOCK_MEMBERS`` members that hold such a pair, where
-   pairs already connected are skipped.
+   members outside its largest component against all members.  Signature bytes,
+   compared in blocks, find the pairs of different components that may be
+   similar; texts go only to the tiles of ``BLOCK_MEMBERS`` by
+   ``BLOCK_MEMBERS`` members that hold such a pair, where pairs already
+   connected are skipped.
 4. Components of all confirmed links.
 
 No bucket is capped or skipped: a link is missed only when a pair shares no
@@ -73,11 +74,6 @@ def digest(ws: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(ws)).digest()
 
 
-def _short(full: bytes) -> int:
-    """The part of a digest that tells apart the texts of one id."""
-    return int.from_bytes(full[:8], "big", signed=True)
-
-
 def shingles(ws: list[bytes]) -> set[tuple[bytes, ...]]:
     """The distinct shingles themselves; the whole sequence of fewer words; none without words."""
     if len(ws) < SHINGLE:
@@ -112,25 +108,19 @@ def _sketch(places: int):
 def _sign(places: int, bands: int, rows: int):
     def make():
         def kernel(texts: list[str | None]) -> list[list]:
-            sizes, marks, keys, sigs = [], [], [], []
+            sizes, marks, keys = [], [], []
             for part in batches(texts):
                 elements, n = shingle_sets(texts[part])
-                sig = signatures(elements, n, places)
                 sizes += n.tolist()
-                keys += list(band_keys(sig, bands, rows).view(np.int64))
-                sigs += signature_bytes(sig)
+                keys += list(band_keys(signatures(elements, n, places), bands, rows).view(np.int64))
                 marks += [digest(words(t)) for t in texts[part]]
-            return [sizes, marks, [_short(m) for m in marks], keys, sigs]
+            return [sizes, marks, keys]
 
         return kernel
 
     return make
 
 
-def _short_digests():
-    return lambda texts: [[_short(digest(words(t))) for t in texts]]
-
-
 def _agreeing(estimate: float):
     """Pairs whose signatures agree in a share of ``estimate`` at least."""
 
@@ -185,93 +175,114 @@ class _Sets:
         return found
 
 
-def _groups(found: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys of sorted rows, across batches."""
-    held: list[pd.DataFrame] = []
+def _runs(found: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of each run of equal keys of sorted rows, across batches."""
+    held: list[dict[str, np.ndarray]] = []
     last = None
     for rows in found:
         if not len(rows):
             continue
-        code = rows[keys].ne(rows[keys].shift()).any(axis=1).to_numpy()
-        starts = [0, *(np.flatnonzero(code[1:]) + 1).tolist(), len(rows)]
+        cols = {c: rows[c].to_numpy() for c in rows.columns}
+        new = np.zeros(len(rows) - 1, bool)
+        for k in keys:
+            new |= cols[k][1:] != cols[k][:-1]
+        starts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rows)]
         for a, b in zip(starts, starts[1:], strict=False):
-            part = rows.iloc[a:b]
-            key = tuple(part.iloc[0][keys])
+            key = tuple(cols[k][a] for k in keys)
             if held and key != last:
-                yield pd.concat(held)
+                yield held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
                 held = []
-            held.append(part)
+            held.append({c: v[a:b] for c, v in cols.items()})
             last = key
     if held:
-        yield pd.concat(held)
-
-
-class _Side:
-    """One side of a block: its members' columns as arrays."""
-
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.rows = rows
-        self.comp, self.size = rows["comp"].to_numpy(np.int64), rows["size"].to_numpy(np.int64)
-        self.sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-
-    def near(self, comp: int, size: int, sig: np.ndarray, percent: int, estimate: float) -> np.ndarray:
-        """Members of other components that may be similar, the likeliest first."""
-        fits = (self.comp != comp) & (100 * np.minimum(self.size, size) >= percent * np.maximum(self.size, size))
-        at = np.flatnonzero(fits)
-        share = (self.sigs[at] == sig).mean(axis=1)
-        good = share >= estimate
-        return at[good][np.argsort(-share[good], kind="stable")]
+        yield held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+
+#: Places compared first, and pairs compared at a time.
+FIRST_PLACES, PAIRS = 64, 1 << 14
+
+
+def _near(xs: dict[str, np.ndarray], ys: dict[str, np.ndarray], percent: int, sigmas: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (place in ``xs``, place in ``ys``, agreement) of different components that may be similar."""
+    a, b = (np.frombuffer(b"".join(v["sig"]), np.uint8).reshape(len(v["sig"]), -1) for v in (xs, ys))
+    places = a.shape[1]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 21) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        size, other = xs["size"][at : at + step, None], ys["size"][None, :]
+        fits = (xs["comp"][at : at + step, None] != ys["comp"][None, :]) & (100 * np.minimum(size, other) >= percent * np.maximum(size, other))
+        left, right = np.nonzero(fits)
+        left += at
+        for k in range(0, len(left), PAIRS):
+            x, y = left[k : k + PAIRS], right[k : k + PAIRS]
+            for first, last in ((0, min(FIRST_PLACES, places)), (0, places)):
+                share = (a[x, first:last] == b[y, first:last]).mean(axis=1)
+                good = share >= least_agreement(percent, last - first, sigmas)
+                x, y, share = x[good], y[good], share[good]
+            found.append((x, y, share))
+    if not found:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+
+def _sides(group: dict[str, np.ndarray], one: int, other: int) -> tuple[dict, dict]:
+    """Rows of all roles but ``one``, and but ``other``."""
+    return tuple({c: v[group["role"] != r] for c, v in group.items()} for r in (one, other))
 
 
 _TILE = "bucket long, i int, j int, id long, d long, comp long, size long, role int, sig binary"
 
 
-def _promising(percent: int, estimate: float):
+def _promising(percent: int, sigmas: float | None):
     """Members of a wide block that the tiles (i, j) need: both ends of every pair that may be similar."""
-    names = [c.split()[0] for c in _TILE.split(", ")]
 
     def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(found, ["bucket", "wide_i", "wide_j"]):
-            everyone, outside = _Side(group[group["role"] != 1]), _Side(group[group["role"] != 0])
-            mine, theirs = outside.rows["f"].to_numpy(), everyone.rows["f"].to_numpy()
-            firsts: set[tuple[int, int, int]] = set()  # (i, j, place)
-            seconds: set[tuple[int, int, int]] = set()
-            for k in range(len(mine)):
-                near = everyone.near(outside.comp[k], outside.size[k], outside.sigs[k], percent, estimate)
-                i = int(mine[k])
-                js = theirs[near].tolist()
-                firsts.update((i, j, k) for j in set(js))
-                seconds.update((i, j, y) for j, y in zip(js, near.tolist(), strict=True))
-            for side, chosen, role in ((outside, firsts, 1), (everyone, seconds, 0)):
-                if chosen:
-                    at = np.array(sorted(chosen))
-                    yield side.rows.iloc[at[:, 2]].assign(i=at[:, 0], j=at[:, 1], role=role)[names]
+        made: list[pd.DataFrame] = []
+        rows = 0
+        for group in _runs(found, ["bucket", "wide_i", "wide_j"]):
+            everyone, outside = _sides(group, 1, 0)
+            x, y, _ = _near(outside, everyone, percent, sigmas)
+            if not len(x):
+                continue
+            i, j = outside["f"][x], everyone["f"][y]
+            for side, at, role in ((outside, x, 1), (everyone, y, 0)):
+                at = np.unique(np.stack([i, j, at], axis=1), axis=0)
+                cols = {c: side[c][at[:, 2]] for c in ("bucket", "id", "d", "comp", "size", "sig")}
+                made.append(pd.DataFrame(cols | {"i": at[:, 0], "j": at[:, 1], "role": role}))
+                rows += len(at)
+            if rows > 4096:
+                yield pd.concat(made)[[c.split()[0] for c in _TILE.split(", ")]]
+                made, rows = [], 0
+        if made:
+            yield pd.concat(made)[[c.split()[0] for c in _TILE.split(", ")]]
 
     return run
 
 
-def _search_tiles(percent: int, estimate: float):
+def _search_tiles(percent: int, sigmas: float | None):
     """Links between components in a tile."""
 
     def run(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = _Sets()
-        for group in _groups(found, ["bucket", "i", "j"]):
+        for group in _runs(found, ["bucket", "i", "j"]):
             names = list(zip(group["id"].tolist(), group["d"].tolist(), strict=True))
-            texts = dict(zip(names, group["text"].tolist(), strict=True))
-            have = sets.get(names, group["text"].tolist())
-            everyone, outside = _Side(group[group["role"] == 0]), _Side(group[group["role"] == 1])
-            ids = list(zip(everyone.rows["id"].tolist(), everyone.rows["d"].tolist(), strict=True))
-            links, out = UnionFind(), []
-            for k, x in enumerate(zip(outside.rows["id"].tolist(), outside.rows["d"].tolist(), strict=True)):
-                own = None
-                for y in everyone.near(outside.comp[k], outside.size[k], outside.sigs[k], percent, estimate).tolist():
-                    a, b = int(outside.comp[k]), int(everyone.comp[y])
-                    if links.find(a) == links.find(b) or not jaccard_at_least(have[x], have[ids[y]], percent):
-                        continue
-                    own = shingles(words(texts[x])) if own is None else own
-                    if similar(own, shingles(words(texts[ids[y]])), percent):
-                        links.union(a, b)
-                        out.append((x[0], ids[y][0]))
+            texts = dict(zip(names, group["text"], strict=True))
+            have = sets.get(names, list(group["text"]))
+            everyone, outside = _sides(group, 1, 0)
+            own, all_ids = (list(zip(v["id"].tolist(), v["d"].tolist(), strict=True)) for v in (outside, everyone))
+            x, y, share = _near(outside, everyone, percent, sigmas)
+            order = np.lexsort((-share, x))
+            links, out, last, held = UnionFind(), [], -1, set()
+            for k, m in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                a, b = int(outside["comp"][k]), int(everyone["comp"][m])
+                if links.find(a) == links.find(b) or not jaccard_at_least(have[own[k]], have[all_ids[m]], percent):
+                    continue
+                if k != last:
+                    last, held = k, shingles(words(texts[own[k]]))
+                if similar(held, shingles(words(texts[all_ids[m]])), percent):
+                    links.union(a, b)
+                    out.append((own[k][0], all_ids[m][0]))
             if out:
                 yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
@@ -296,15 +307,13 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("d", F.xxhash64("text"))
     fields = [
         T.StructField("n_shingles", T.LongType()),
         T.StructField("digest", T.BinaryType()),
-        T.StructField("d", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("sig", T.BinaryType()),
     ]
-    signed = cut(annotate(base, ["text"], fields, _sign(PLACES, BANDS, ROWS), keep=["id"]), "signed")
+    signed = cut(annotate(base, ["text"], fields, _sign(PLACES, BANDS, ROWS), keep=["id", "d"]), "signed")
     files = 1 + signed.count() // FILE_DOCUMENTS
     known = signed.where("id is not null and n_shingles > 0")
     classes = cut(known.groupBy("digest").agg(F.min("id").alias("cid")).coalesce(files), "classes")
@@ -314,38 +323,43 @@ def near_duplicates(
     apart = with_hash(known.select("id", "digest").join(several, "id"), "digest").join(hashed, ["digest", "_h"]).select("id", "cid")
     low = apart.groupBy("id").agg(F.min("cid").alias("low"))
     ties = apart.join(low, "id").where("cid != low").select(F.col("low").alias("u"), F.col("cid").alias("v"))
-    # one row stands for a class
-    standing = known.join(classes.select("digest", F.col("cid").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"])
-    rows = standing.select(F.explode("keys").alias("bucket"), "id", "d", F.col("n_shingles").alias("size"))
+    # one text (id, d) stands for a class
+    standing = (
+        known.join(classes.select("digest", F.col("cid").alias("id")), ["digest", "id"], "left_semi")
+        .groupBy("digest", "id")
+        .agg(F.min("d").alias("d"), F.first("keys").alias("keys"), F.first("n_shingles").alias("size"))
+    )
+    rows = standing.select(F.explode("keys").alias("bucket"), "id", "d", "size")
     crowded = rows.groupBy("bucket").agg(F.min(F.struct("id", "d", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     met = with_hash(rows, "bucket").join(with_hash(crowded.select("bucket", "hub"), "bucket"), ["bucket", "_h"])
     members = cut(met.drop("_h").coalesce(files), "members")
-    sigs = cut(standing.select("id", "d", "sig").join(members.select("id", "d").distinct(), ["id", "d"], "left_semi").coalesce(files), "signatures")
+    mine = base.join(members.select("id", "d").distinct(), ["id", "d"], "left_semi").dropDuplicates(["id", "d"])
+    texts = cut(annotate(mine, ["text"], [T.StructField("sig", T.BinaryType())], _sketch(WIDE_PLACES)).coalesce(files), "texts")
+    sigs = texts.select("id", "d", "sig")
 
     fits = F.lit(100) * F.least("size", "hub.size") >= F.lit(percent) * F.greatest("size", "hub.size")
     stars = members.where((F.col("id") != F.col("hub.id")) & fits).select(
         F.col("hub.id").alias("u"), F.col("hub.d").alias("du"), F.col("id").alias("v"), F.col("d").alias("dv")
     )
     sides = stars.distinct().join(sigs.toDF("v", "dv", "sig_v"), ["v", "dv"]).join(sigs.toDF("u", "du", "sig_u"), ["u", "du"])
-    edges = cut(sides.mapInPandas(_tidied(_agreeing(least_agreement(percent, PLACES, sigmas))), "u long, du long, v long, dv long").coalesce(files), "edges")
-    ends = edges.select(F.col("u").alias("id"), F.col("du").alias("d")).union(edges.select("v", "dv")).distinct()
-    texts = cut(_texts(base, ends, files), "texts")
+    least = least_agreement(percent, WIDE_PLACES, sigmas)
+    edges = cut(sides.mapInPandas(_tidied(_agreeing(least)), "u long, du long, v long, dv long").coalesce(files), "edges")
+    read = texts.select("id", "d", "text")
     paired = (
-        edges.join(texts.toDF("v", "dv", "text_v"), ["v", "dv"])
-        .join(texts.toDF("u", "du", "text_u"), ["u", "du"])
+        edges.join(read.toDF("v", "dv", "text_v"), ["v", "dv"])
+        .join(read.toDF("u", "du", "text_u"), ["u", "du"])
         .select("u", "du", "text_u", "text_v", "v")
         .sortWithinPartitions("u", "du")
     )
     links = cut(paired.mapInPandas(_tidied(_confirm(percent)), "u long, v long").union(ties).coalesce(files), "links")
-    drop(edges, texts, sigs)
     first = connected_components(links)
-    more = _leftover(members, first, base, percent, least_agreement(percent, WIDE_PLACES, sigmas), files)
+    more = _leftover(members, first, texts, percent, sigmas, files)
     final = connected_components(links.union(more))
     named = classes.join(final.withColumnRenamed("id", "cid"), "cid", "left").select(
         "digest", F.coalesce("component", "cid").alias("component_id")
     )
     named = cut(with_hash(named, "digest").coalesce(files), "named")
-    drop(classes, members, links, first, more, final)
+    drop(classes, members, texts, edges, links, first, more, final)
     out = with_hash(signed.select("id", "n_shingles", "digest"), "digest").join(named, ["digest", "_h"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(
         F.when(F.col("id").isNotNull(), F.col("component_id"))
@@ -358,14 +372,7 @@ def near_duplicates(
     )
 
 
-def _texts(base: DataFrame, wanted: DataFrame, files: int) -> DataFrame:
-    """(id, d, text) of the documents in ``wanted`` (id, d), once each."""
-    mine = base.join(wanted.select("id").distinct(), "id", "left_semi")
-    marked = annotate(mine, ["text"], [T.StructField("d", T.LongType())], _short_digests)
-    return marked.join(wanted, ["id", "d"], "left_semi").dropDuplicates(["id", "d"]).select("id", "d", "text").coalesce(files)
-
-
-def _leftover(members: DataFrame, first: DataFrame, base: DataFrame, percent: int, estimate: float, files: int) -> DataFrame:
+def _leftover(members: DataFrame, first: DataFrame, texts: DataFrame, percent: int, sigmas: float | None, files: int) -> DataFrame:
     """Links between components inside the buckets that hold several, as a table."""
     named = members.join(first, "id", "left").select(
         "bucket", "id", "d", "size", F.coalesce("component", "id").alias("comp")
@@ -396,11 +403,7 @@ def _leftover(members: DataFrame, first: DataFrame, base: DataFrame, percent: in
         blocks(F.col("n"), F.col("size")).alias("nb"),
         blocks(F.col("n") - F.col("one.main.n"), F.col("size") - F.col("one.main.size")).alias("sb"),
     )
-    side = cut(named.join(wanted, "bucket").coalesce(files), "side")
-    asked = _texts(base, side.select("id", "d").distinct(), files)
-    sketched = annotate(asked, ["text"], [T.StructField("sig", T.BinaryType())], _sketch(WIDE_PLACES), keep=["id", "d"])
-    sketches = cut(sketched, "sketches")
-    full = side.join(sketches, ["id", "d"])
+    full = named.join(wanted, "bucket").join(texts.select("id", "d", "sig"), ["id", "d"])
     spread = lambda n: F.pmod(F.xxhash64("id", "d"), n).cast("int")
     single = (F.col("nb") == 1) & (F.col("sb") == 1)
     outside = F.col("comp") != F.col("main")
@@ -415,19 +418,20 @@ def _leftover(members: DataFrame, first: DataFrame, base: DataFrame, percent: in
         "bucket", wide(spread(F.col("sb"))).alias("wide_i"), F.explode(span(F.col("nb"))).alias("wide_j"),
         spread(F.col("sb")).alias("f"), *carried, F.lit(1).alias("role"),
     )
+    # a number of partitions of its own: they are light to move and heavy to compare
+    dealt = max(4 * files, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tasks = (
         as_any.union(as_outside)
-        .repartition("bucket", "wide_i", "wide_j")
+        .repartition(dealt, "bucket", "wide_i", "wide_j")
         .sortWithinPartitions("bucket", "wide_i", "wide_j")
     )
-    tiles = cut(tasks.mapInPandas(_tidied(_promising(percent, estimate)), _TILE).coalesce(files), "tiles")
-    texts = _texts(base, tiles.select("id", "d").distinct(), files)
+    tiles = cut(tasks.mapInPandas(_tidied(_promising(percent, sigmas)), _TILE).coalesce(files), "tiles")
     found = (
-        tiles.join(texts, ["id", "d"])
-        .repartition("bucket", "i", "j")
+        tiles.join(texts.select("id", "d", "text"), ["id", "d"])
+        .repartition(dealt, "bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
-        .mapInPandas(_tidied(_search_tiles(percent, estimate)), "u long, v long")
+        .mapInPandas(_tidied(_search_tiles(percent, sigmas)), "u long, v long")
     )
     links = cut(found.coalesce(files), "more-links")
-    drop(side, sketches, tiles)
+    drop(tiles)
     return links
