@@ -1,5 +1,6 @@
 """Operators on small tables: missing values, tiling, whole runs, streaming, entry."""
 
+import hashlib
 import importlib
 import sys
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import kernels as N
 from tidewright.functions import pixel as P
-from tidewright.operators import accounting, adaptive, metrics, region, spacetime, stencil, temporal
+from tidewright.operators import accounting, adaptive, augment, metrics, region, spacetime, stencil, temporal
 from tidewright.plans import clusters
 from tidewright.streaming.ingest import ingest, yearly_counts
 
@@ -163,6 +164,63 @@ def test_whole_run_and_resume(spark):
     assert {r.cluster_id for r in again} == {1} and len(again) == 3
 
 
+def test_a_run_with_all_outputs(spark, tmp_path):
+    """One cluster without a year and one with broken areas fail by themselves; the others are written and marked done."""
+    df = scenes(spark, clusters_=4)
+    df = df.where("not (cluster_id = 1 and year = 2018)").withColumn("area_m2", F.when(F.col("cluster_id") == 2, float("nan")).otherwise(F.col("area_m2")))
+    ports = spark.createDataFrame([(0, "P1")], "cluster_id int, ports string")
+    config = clusters.RunConfig(year_max=2019, block=6, pad=3, pixel_m=60.0)
+    out = str(tmp_path / "run")
+    failed = clusters.run_to_folder(df, ports, out, config).collect()
+    assert sorted((r.cluster_id, r.reason) for r in failed) == [(1, "missing years"), (2, "labelling or area identity failed")]
+    written = spark.read.csv(f"{out}/changes", header=True)
+    assert tuple(written.columns) == clusters.RESULT and len(clusters.RESULT) == 13
+    assert {(r.cluster_id, r.cluster_uid, r.resolved_portids) for r in written.collect()} == {("0", "10", "P1"), ("3", "13", None)}
+    want = clusters.run_clusters(df.where("cluster_id in (0, 3)"), ports, spark.createDataFrame([], "cluster_id int"), config)
+    near = lambda rows, c: sorted((int(r.cluster_id), int(r.year), round(float(r[c]), 3)) for r in rows)
+    assert near(written.collect(), "area_m2_hstgo") == near(want.collect(), "area_m2")
+    layers = spark.read.parquet(f"{out}/layers")
+    assert layers.select("cluster_id", "year").distinct().count() == 9 and {"mask_spatial", "water_mask"} <= set(layers.columns)
+    assert spark.read.json(f"{out}/diagnostics").count() == 9
+    marks = spark.read.json(f"{out}/summaries")
+    assert {(r.cluster_id, len(r.years)) for r in marks.collect()} == {(0, 3), (3, 3)}
+    again = clusters.run_to_folder(scenes(spark, clusters_=4), ports, out, config)
+    assert again.count() == 0 and spark.read.csv(f"{out}/changes", header=True).count() == 12
+    assert spark.read.json(f"{out}/summaries").select("cluster_id").distinct().count() == 4
+
+
+def test_augmentation_equals_arrays(spark):
+    rng = np.random.default_rng(4)
+    shape = (40, 6, 6)
+    arrays = {"b0": rng.random(shape), "b6": rng.random(shape), "b9": rng.random(shape) - 0.5, "y": np.floor(rng.random(shape) * 3)}
+    df = grid(spark, arrays).withColumn("y", F.col("y").cast("int"))
+    found = augment.augment(df, ["k"], ["b0"], ["b6"], ["b9"], ["y"], seed=20)
+    rows = found.collect()
+    draw = [{s: int(hashlib.md5(f"{20 + s}:{k}".encode()).hexdigest()[:12], 16) / 2**48 for s in range(1, 14)} for k in range(40)]
+    turned = warped = 0
+    for k in range(40):
+        u = draw[k]
+        got = {n: np.full((6, 6), np.nan) for n in arrays}
+        for r in rows:
+            if r.k == k:
+                for n in arrays:
+                    got[n][r.r, r.c] = r[n]
+        for n in ("b9", "y"):  # only moved
+            x = arrays[n][k]
+            x = x[:, ::-1] if u[1] < 0.5 else x
+            x = x[::-1] if u[2] < 0.5 else x
+            x = np.rot90(x, int(4 * u[4])) if u[3] < 0.5 else x
+            turned += u[3] < 0.5
+            if u[5] < 0.35:
+                warped += 1
+                x = N.affine_warp(x, -8 + 16 * u[6], 0.95 + 0.1 * u[7], (-0.03 + 0.06 * u[9]) * 6, (-0.03 + 0.06 * u[8]) * 6, n == "y")
+            assert got[n] == pytest.approx(x)
+        assert u[10] >= 0.3 or (got["b0"].min() >= 0 and got["b0"].max() <= 1)
+    assert turned > 10 and warped > 10
+    noisy = [r.b6 for r in rows if draw[r.k][13] < 0.25]
+    assert min(noisy) < 0 or max(noisy) > 1  # not clipped
+
+
 def test_block_labels_beat_thresholding(spark, noise):
     water, dist = np.zeros_like(noise), np.full_like(noise, 100.0)
     df = grid(spark, {"water_prob": water, "prob_refined": noise, "dist_to_water_m": dist}, ("year",)).withColumn("k", F.lit(0))

@@ -33,3 +33,15 @@ THRESHOLDS = (0.25, 0.75, 0.025)
 SWEEP_BATCHES = 80
 PROBES = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 EARTH_A, EARTH_F, MERCATOR_R = 6378137.0, 1 / 298.257223563, 6378137.0
+
+# Augmentation: shares of samples, and how far numbers reach.
+FLIP_SHARE = 0.5  # mirrored left to right; up and down; given quarter turns: each on its own
+WARP_SHARE = 0.35
+WARP_DEGREES = 8.0  # to either side
+WARP_SCALE = 0.05  # of 1
+WARP_SHIFT = 0.03  # of width and of height
+JITTER_SHARE = 0.3
+JITTER_GAIN = 0.1  # of 1
+JITTER_BIAS = 0.02
+NOISE_SHARE = 0.25
+NOISE_STD = 0.02

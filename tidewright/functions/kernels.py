@@ -275,14 +275,18 @@ def label_block(water: np.ndarray, port: np.ndarray, dist_m: np.ndarray) -> np.n
 
 
 def affine_warp(img: np.ndarray, degrees: float, scale: float, dr: float, dc: float, nearest: bool) -> np.ndarray:
-    """Rotation about the centre, scaling and shift; bilinear or nearest, mirrored borders."""
+    """Rotation and scaling about (height / 2, width / 2), then a shift by (dr, dc); bilinear or nearest, mirrored borders.
+
+    A positive angle turns counter-clockwise, rows counted downwards.  Every pixel takes its value from where the
+    inverse of that mapping puts it.
+    """
     h, w = img.shape
     a = np.deg2rad(degrees)
-    cy, cx = (h - 1) / 2, (w - 1) / 2
+    cy, cx = h / 2, w / 2
     y, x = np.mgrid[0:h, 0:w].astype(float)
     y, x = y - cy - dr, x - cx - dc
-    sy = (np.cos(a) * y - np.sin(a) * x) / scale + cy
-    sx = (np.sin(a) * y + np.cos(a) * x) / scale + cx
+    sx = (np.cos(a) * x - np.sin(a) * y) / scale + cx
+    sy = (np.sin(a) * x + np.cos(a) * y) / scale + cy
 
     def mirror(i: np.ndarray, n: int) -> np.ndarray:
         if n == 1:
@@ -291,7 +295,7 @@ def affine_warp(img: np.ndarray, degrees: float, scale: float, dr: float, dc: fl
         return np.where(i < n, i, 2 * (n - 1) - i)
 
     if nearest:
-        return img[mirror(np.rint(sy).astype(int), h), mirror(np.rint(sx).astype(int), w)]
+        return img[mirror(np.floor(sy + 0.5).astype(int), h), mirror(np.floor(sx + 0.5).astype(int), w)]
     y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
     fy, fx = sy - y0, sx - x0
     at = lambda i, j: img[mirror(i, h), mirror(j, w)]

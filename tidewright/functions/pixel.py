@@ -195,10 +195,12 @@ def aux_ramp(epoch: Column) -> Column:
 
 
 def hashed_uniform(seed: int, *keys: Column) -> Column:
-    """A uniform number in [0, 1) that depends on seed and keys alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) that depends on seed and keys alone: 48 bits of the MD5 of ``seed:key:...``."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def hashed_normal(seed: int, *keys: Column) -> Column:
+    """A standard normal number, made of the uniform ones of ``seed`` and ``seed + 1``."""
     u, v = hashed_uniform(seed, *keys), hashed_uniform(seed + 1, *keys)
     return F.sqrt(-2.0 * F.ln(1.0 - u)) * F.cos(2.0 * F.pi() * v)

@@ -36,11 +36,13 @@ def account(
     time: str = "year",
     threshold: float = K.SEA_WATER,
     block: int = K.BLOCK,
+    flag: bool = False,
 ) -> DataFrame:
     """Area per scene and year and its change against the base and the previous year, by direction.
 
     One window by pixel compares years; conditional counts per raster row and
-    two-level sums keep float sums short.  A broken identity raises.
+    two-level sums keep float sums short.  A broken identity raises; with
+    ``flag`` a column ``broken`` tells of it instead.
     """
     at = [*scene, "r", "c"]
     sea = sea_domain(df, scene, port, water, threshold, time, block)
@@ -71,7 +73,7 @@ def account(
     off = (F.abs(total - (F.col("area_m2") - F.col("base_m2"))) > IDENTITY) | (
         F.abs(yearly - (F.col("area_m2") - F.col("prev_m2"))) > IDENTITY
     )
-    checked = F.when(off, F.raise_error(F.lit("directional area identity failed")).cast("double")).otherwise(total)
+    checked = total if flag else F.when(off, F.raise_error(F.lit("directional area identity failed")).cast("double")).otherwise(total)
     first_year = F.min(time).over(Window.partitionBy(*scene))
     return sums.select(
         *scene,
@@ -85,6 +87,7 @@ def account(
         "annual_seaward_net_change_m2",
         "annual_landward_net_change_m2",
         yearly.alias("annual_total_net_change_m2"),
+        *([off.alias("broken")] if flag else []),
     )
 
 

@@ -101,7 +101,7 @@ def hysteresis(df: DataFrame, keys: list[str], prob: str, land: str, block: int
     return df.join(kept, at, "left").withColumn("mask", F.coalesce("mask", F.lit(False)))
 
 
-def water_mask_otsu(df: DataFrame, keys: list[str], mndwi: str = "mndwi", block: int = K.BLOCK) -> DataFrame:
+def water_mask_otsu(df: DataFrame, keys: list[str], mndwi: str = "mndwi", block: int = K.BLOCK, least: int = K.OTSU_MIN_PX) -> DataFrame:
     """(keys, r, c, thr, water): Otsu threshold, opening, closing, small parts dropped; flat scenes as they are."""
     from tidewright.operators.adaptive import otsu_thresholds
     from tidewright.operators.stencil import _morph
@@ -109,7 +109,7 @@ def water_mask_otsu(df: DataFrame, keys: list[str], mndwi: str = "mndwi", block:
     wet = df.join(otsu_thresholds(df, keys, mndwi), keys).withColumn("water", F.col(mndwi) > F.col("thr"))
     reach = 2 * (K.OTSU_OPEN + K.OTSU_CLOSE)
     kernel = lambda p, m: (N.open_close(m, p, K.OTSU_OPEN, K.OTSU_CLOSE),)
-    smooth = drop_small(_morph(wet, keys, "water", kernel, reach, block), keys, "water", K.OTSU_MIN_PX, block)
+    smooth = drop_small(_morph(wet, keys, "water", kernel, reach, block), keys, "water", least, block)
     at = [*keys, "r", "c"]
     joined = wet.select(*at, "thr", "flat", F.col("water").alias("_raw")).join(smooth, at)
     return joined.select(*at, "thr", F.when(F.col("flat"), F.col("_raw")).otherwise(F.col("water")).alias("water"))

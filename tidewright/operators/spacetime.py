@@ -6,6 +6,7 @@ halo; both are explicit and never changed by a size guard.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,15 @@ def minimum_cut(df: DataFrame, scene: list[str], true_cost: str, false_cost: str
     return apply_tiles(df, scene, cols, {"label": "boolean"}, kernel, pad, block, time)
 
 
-def label_ports(df: DataFrame, scene: list[str], water: str = "water_prob", port: str = "prob_refined", dist_m: str = "dist_to_water_m", time: str = "year", block: int = K.BLOCK, pad: int = K.PAD) -> DataFrame:
-    """(scene, year, r, c, port): the two-layer labelling of each block."""
+def label_ports(df: DataFrame, scene: list[str], water: str = "water_prob", port: str = "prob_refined", dist_m: str = "dist_to_water_m", time: str = "year", block: int = K.BLOCK, pad: int = K.PAD, lenient: bool = False) -> DataFrame:
+    """(scene, year, r, c, port): the two-layer labelling of each block; with ``lenient`` null where a block fails."""
     def kernel(present, w, p, d):
-        return (N.label_block(w, p, d),)
+        try:
+            return (N.label_block(w, p, d),)
+        except (ArithmeticError, ValueError):
+            if not lenient:
+                raise
+            return (np.full(w.shape, None, object),)
 
     return apply_tiles(df, scene, [water, port, dist_m], {"port": "boolean"}, kernel, pad, block, time)
 

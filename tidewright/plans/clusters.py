@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tidewright.functions import constants as K
 from tidewright.functions import pixel as P
 from tidewright.operators import accounting, adaptive, region, spacetime, stencil
-from tidewright.tables import cut
+from tidewright.sources import sinks
+from tidewright.tables import cut, drop
 
 
 @dataclass(frozen=True)
@@ -151,32 +152,104 @@ def diagnostics(df: DataFrame, keys: list[str], pixel_m: float) -> DataFrame:
     )
 
 
-def label_and_account(layers: DataFrame, config: RunConfig) -> DataFrame:
-    """From stored layers (solve-only entry): label, clean up and account per cluster and year."""
+#: Columns of the change table, in order.
+RESULT = (
+    "cluster_id", "cluster_uid", "year", "base_year", "area_method", "area_m2_hstgo",
+    "seaward_net_change_m2_from_base", "landward_net_change_m2_from_base", "total_net_change_m2_from_base",
+    "annual_seaward_net_change_m2", "annual_landward_net_change_m2", "annual_total_net_change_m2", "resolved_portids",
+)
+
+
+def label_and_account(layers: DataFrame, config: RunConfig, flag: bool = False) -> DataFrame:
+    """From stored layers (solve-only entry): label, clean up and account per cluster and year.
+
+    With ``flag`` a column ``broken`` marks rows of broken identities and clusters whose labelling failed; else both raise.
+    """
     at = ["cluster_id", "year", "r", "c"]
-    labelled = cut(spacetime.label_ports(layers, ["cluster_id"], block=config.block, pad=config.pad), "ports")
-    sized = labelled.withColumn("_area", F.lit(config.pixel_m * config.pixel_m))
+    labelled = cut(spacetime.label_ports(layers, ["cluster_id"], block=config.block, pad=config.pad, lenient=flag), "ports")
+    sized = labelled.withColumn("port", F.coalesce("port", F.lit(False))).withColumn("_area", F.lit(config.pixel_m * config.pixel_m))
     tidy = spacetime.final_cleanup(sized, ["cluster_id", "year"], "port", "_area", config.block).drop("_area")
     table = cut(tidy.join(layers.select(*at, "water_prob", "area_m2"), at), "masks")
-    return accounting.account(table, ["cluster_id"], threshold=config.sea_water, block=config.block)
+    found = accounting.account(table, ["cluster_id"], threshold=config.sea_water, block=config.block, flag=flag)
+    if flag:
+        lost = labelled.where("port is null").select("cluster_id").distinct().withColumn("_lost", F.lit(True))
+        found = found.join(lost, "cluster_id", "left").withColumn("broken", F.col("broken") | F.col("_lost").isNotNull()).drop("_lost")
+    return found
 
 
-def run_clusters(scenes: DataFrame, ports: DataFrame, done: DataFrame, config: RunConfig) -> DataFrame:
-    """Cluster-year change rows of all clusters that aren't done, from decoded and scored scenes.
-
-    ``scenes``: cluster_id, cluster_uid, year, r, c, b0..b11, prob_raw, area_m2.
-    """
+def selected(scenes: DataFrame, done: DataFrame, config: RunConfig) -> DataFrame:
+    """Scenes of the years and clusters that are asked for and not done."""
     todo = scenes.where(F.col("year").between(config.year_min, config.year_max))
     if config.exclude:
         todo = todo.where(~F.col("cluster_id").isin(list(config.exclude)))
     if config.clusters:
         todo = todo.where(F.col("cluster_id").isin(list(config.clusters)))
-    todo = todo.join(done.select("cluster_id").distinct(), "cluster_id", "left_anti")
+    return todo.join(done.select("cluster_id").distinct(), "cluster_id", "left_anti")
+
+
+def result_rows(changes: DataFrame, uids: DataFrame, ports: DataFrame) -> DataFrame:
+    """The change table's columns from cluster-year changes, cluster_uid by cluster and ports by cluster (empty if none)."""
+    named = changes.join(uids, "cluster_id").join(ports.select("cluster_id", F.col("ports").alias("resolved_portids")), "cluster_id", "left")
+    full = named.withColumn("resolved_portids", F.coalesce("resolved_portids", F.lit("")))
+    return full.withColumnRenamed("area_m2", "area_m2_hstgo").select(*RESULT)
+
+
+def _uids(scenes: DataFrame) -> DataFrame:
+    return scenes.groupBy("cluster_id").agg(F.min("cluster_uid").alias("cluster_uid"))
+
+
+def run_clusters(scenes: DataFrame, ports: DataFrame, done: DataFrame, config: RunConfig) -> DataFrame:
+    """Cluster-year change rows of all clusters that aren't done, from decoded and scored scenes.
+
+    ``scenes``: cluster_id, cluster_uid, year, r, c, b0..b11, prob_raw, area_m2.
+    """
+    todo = selected(scenes, done, config)
     scene = ["cluster_id", "year"]
     layers = cut(refine(todo, scene, config.pixel_m, config.distance_block, config.distance_reach), "layers")
     changes = label_and_account(layers, config)
-    uids = todo.groupBy("cluster_id").agg(F.min("cluster_uid").alias("cluster_uid"))
-    named = changes.join(uids, "cluster_id").join(ports, "cluster_id", "left")
+    named = changes.join(_uids(todo), "cluster_id").join(ports, "cluster_id", "left")
     return named.withColumn("ports", F.coalesce("ports", F.lit(""))).withColumn(
         "folder", F.format_string("cluster_%03d", "cluster_uid")
     )
+
+
+def run_to_folder(scenes: DataFrame, ports: DataFrame, folder: str, config: RunConfig, resume: bool = True) -> DataFrame:
+    """A whole run with all its outputs under ``folder``; (cluster_id, reason) of the clusters that failed.
+
+    ``layers`` (with mask_spatial and water_mask), ``diagnostics`` (JSON
+    lines), ``changes`` (CSV of ``RESULT``) and ``summaries`` (JSON by
+    cluster, written last: its presence means done, and a run that resumes
+    leaves that cluster out).  A cluster fails by itself: without all years
+    (``strict_years``), by a labelling that fails or by a broken identity; the
+    others go on, and it is tried again by the next run.
+    """
+    spark = scenes.sparkSession
+    done = sinks.done_clusters(spark, f"{folder}/summaries") if resume else spark.createDataFrame([], "cluster_id int")
+    todo = selected(scenes, done, config)
+    failed = spark.createDataFrame([], "cluster_id int, reason string")
+    if config.strict_years:
+        have = todo.select("cluster_id", "year").distinct().groupBy("cluster_id").agg(F.count("*").alias("n"))
+        short = cut(have.where(F.col("n") < config.year_max - config.year_min + 1).select(F.col("cluster_id").cast("int"), F.lit("missing years").alias("reason")), "short")
+        todo, failed = todo.join(short, "cluster_id", "left_anti"), short
+    scene, at = ["cluster_id", "year"], ["cluster_id", "year", "r", "c"]
+    layers = cut(refine(todo, scene, config.pixel_m, config.distance_block, config.distance_reach), "layers")
+    masked = layers.join(spatial_mask(layers, scene, config.pixel_m, config.block).withColumnRenamed("mask", "mask_spatial"), at)
+    full = cut(masked.withColumn("water_mask", F.col("water")), "masked-layers")
+    changes = cut(label_and_account(layers, config, flag=True), "changes")
+    broken = changes.groupBy("cluster_id").agg(F.bool_or("broken").alias("broken")).where("broken")
+    bad = cut(broken.select(F.col("cluster_id").cast("int"), F.lit("labelling or area identity failed").alias("reason")), "broken")
+    good = changes.drop("broken").join(bad, "cluster_id", "left_anti")
+    rows = result_rows(good, _uids(todo), ports)
+    sinks.write_layers(full.select(*at, *sinks.LAYERS), f"{folder}/layers")
+    sinks.append_records(diagnostics(full.withColumn("mask", F.col("mask_spatial")), scene, config.pixel_m), f"{folder}/diagnostics")
+    sinks.write_changes(rows, f"{folder}/changes", resume)
+    sinks.write_summaries(summaries(rows), f"{folder}/summaries")
+    drop(layers, full, changes)
+    return failed.union(bad)
+
+
+def summaries(rows: DataFrame) -> DataFrame:
+    """One row a cluster with its years' values as arrays, in order of years."""
+    values = [c for c in RESULT if c not in ("cluster_id", "cluster_uid", "year", "base_year", "area_method", "resolved_portids")]
+    fixed = ["cluster_id", "cluster_uid", "base_year", "area_method", "resolved_portids"]
+    return accounting.arrays_of_rows(rows, fixed, "year", values).withColumnRenamed("year", "years")

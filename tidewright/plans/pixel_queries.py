@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import constants as K
 from tidewright.functions import pixel as P
-from tidewright.operators import adaptive, metrics, region
+from tidewright.operators import adaptive, metrics
+from tidewright.operators import augment as A
 from tidewright.plans import clusters
 from tidewright.plans import fixtures as X
 from tidewright.plans.fixtures import csql, rsql
@@ -306,13 +307,38 @@ def aux_labels(s, d):
     return metrics.aux_labels(x, ["sample"], "label").select("l_orderkey", "l_linenumber", "sample", "label", "y_bin", "y_aux")
 
 
-@query()
+def hsql(seed: int, *keys: str) -> str:
+    """SQL twin of ``pixel.hashed_uniform``."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 12))::BIGINT / {1 << 48}.0::DOUBLE)"
+
+
+def _noisy(i: int) -> str:
+    u, v = (hsql(A.NOISE_SEED + 2 * i + k, "scene", "r", "c") for k in (0, 1))
+    return f"CASE WHEN {hsql(A.NOISE, 'scene')} < 0.25 THEN b{6 + i} + 0.02 * sqrt(-2.0 * ln(1.0 - {u})) * cos(2.0 * pi() * {v}) ELSE b{6 + i} END"
+
+
+_GAINED = [csql(f"b{i} * (0.9 + 0.2 * {hsql(A.GAIN, 'scene')}) + (-0.02 + 0.04 * {hsql(A.BIAS, 'scene')})", "0.0", "1.0") for i in range(6)]
+
+
+@query(f"WITH {X.SCENE} SELECT scene, r, c, " + ", ".join(
+    [rsql(f"CASE WHEN {hsql(A.JITTER, 'scene')} < 0.3 THEN {_GAINED[i]} ELSE b{i} END", f"b{i}") for i in range(6)] + [rsql(_noisy(i), f"b{6 + i}") for i in range(3)]
+) + " FROM scene")
 def augment_jitter(s, d):
-    x = X.scene(s, d)
-    gain = 0.9 + 0.2 * P.hashed_uniform(1, F.col("scene"))
-    bias = -0.02 + 0.04 * P.hashed_uniform(2, F.col("scene"))
-    noise = 0.02 * P.hashed_normal(3, *[F.col(k) for k in AT])
-    return _pick(x, AT, optical=P.clip(F.col("b3") * gain + bias, 0, 1), radar=P.clip(F.col("b6") + noise, 0, 1))
+    bands = [f"b{i}" for i in range(9)]
+    found = A.disturb(X.scene(s, d).select(*AT, *bands), ["scene"], bands[:6], bands[6:])
+    return _pick(found, AT, **{b: F.col(b) for b in bands})
+
+
+_TURNED = f"""k AS (SELECT DISTINCT scene, {hsql(A.FLIP_LR, 'scene')} < 0.5 AS lr, {hsql(A.FLIP_UD, 'scene')} < 0.5 AS ud,
+  CASE WHEN {hsql(A.ROTATE, 'scene')} < 0.5 THEN floor(4 * {hsql(A.TURNS, 'scene')}) ELSE 0 END AS t FROM scene),
+f AS (SELECT scene, t, CASE WHEN ud THEN 7 - r ELSE r END AS r, CASE WHEN lr THEN 7 - c ELSE c END AS c, b6 FROM scene JOIN k USING (scene))"""
+
+
+@query(f"""WITH {X.SCENE}, {_TURNED} SELECT scene, (CASE t WHEN 1 THEN 7 - c WHEN 2 THEN 7 - r WHEN 3 THEN c ELSE r END)::INTEGER AS r,
+(CASE t WHEN 1 THEN r WHEN 2 THEN 7 - c WHEN 3 THEN 7 - r ELSE c END)::INTEGER AS c, {rsql('b6', 'b6')} FROM f""")
+def augment_turns(s, d):
+    found = A.turn(X.scene(s, d).select(*AT, "b6"), ["scene"])
+    return _pick(found.withColumns({x: F.col(x).cast("int") for x in ("r", "c")}), AT, b6=F.col("b6"))
 
 
 @query(f"""SELECT l_orderkey AS step, {rsql("CASE WHEN l_orderkey < 500 THEN (l_orderkey + 1) / 500.0::DOUBLE ELSE 0.05 + 0.95 * (0.5 * (1 + cos(pi() * (l_orderkey - 500) / 100000.0::DOUBLE))) END", 'lr')},
@@ -330,12 +356,12 @@ def threshold_grid(s, d):
 
 # adaptive thresholds
 
-_WATER = f"""w AS (SELECT *, sqrt(vv * vv + vh * vh + 1e-6) AS inten FROM indexed),
+WATER = f"""w AS (SELECT *, sqrt(vv * vv + vh * vh + 1e-6) AS inten FROM indexed),
 t AS (SELECT scene, quantile_cont(mndwi, 0.85) AS thr_m, quantile_cont(inten, 0.2) AS thr_i FROM w GROUP BY ALL),
 water AS (SELECT w.*, thr_m, thr_i, {_sg('(mndwi - thr_m) * 10.0')} * {_sg('(thr_i - inten) * 10.0')} AS water_prob FROM w JOIN t USING (scene))"""
 
 
-@query(f"WITH {X.INDEXED}, {_WATER} SELECT scene, r, c, {rsql('thr_m', 'thr_m')}, {rsql('thr_i', 'thr_i')}, {rsql('water_prob', 'water_prob')} FROM water")
+@query(f"WITH {X.INDEXED}, {WATER} SELECT scene, r, c, {rsql('thr_m', 'thr_m')}, {rsql('thr_i', 'thr_i')}, {rsql('water_prob', 'water_prob')} FROM water")
 def water_prob(s, d):
     found = adaptive.water_probability(X.indexed(s, d), ["scene"])
     return _pick(found, AT, **{c: F.col(c) for c in ("thr_m", "thr_i", "water_prob")})
@@ -352,13 +378,41 @@ def water_mask_fixed(s, d):
     return adaptive.water_mask_fixed(X.indexed(s, d)).select(*AT, "water")
 
 
-@query(f"""WITH {X.INDEXED}, q AS (SELECT scene, quantile_cont(mndwi, 0.01) AS p1, quantile_cont(mndwi, 0.99) AS p99 FROM indexed GROUP BY ALL),
+OTSU = """q AS (SELECT scene, quantile_cont(mndwi, 0.01) AS p1, quantile_cont(mndwi, 0.99) AS p99 FROM indexed GROUP BY ALL),
 b AS (SELECT scene, p1, p99, trunc(least(greatest((least(greatest(mndwi, p1), p99) - p1) / (p99 - p1 + 1e-6) * 255.0, 0), 255))::INTEGER AS bin FROM indexed JOIN q USING (scene)),
 h AS (SELECT scene, p1, p99, bin, count(*) AS n FROM b GROUP BY ALL),
 cs AS (SELECT *, sum(n) OVER o AS n0, sum(n * bin) OVER o AS s0, sum(n) OVER (PARTITION BY scene) AS nn, sum(n * bin) OVER (PARTITION BY scene) AS ss FROM h WINDOW o AS (PARTITION BY scene ORDER BY bin)),
 v AS (SELECT scene, p1, p99, bin, round(CASE WHEN nn > n0 THEN n0 * (nn - n0) * pow(s0 / n0::DOUBLE - (ss - s0) / (nn - n0)::DOUBLE, 2) ELSE 0.0 END, 6) AS sb FROM cs),
-m AS (SELECT scene, p1, p99, first(bin ORDER BY sb DESC, bin) AS t FROM v GROUP BY ALL)
-SELECT scene, {rsql('CASE WHEN p99 <= p1 + 1e-6 THEN -0.05 ELSE p1 + t / 255.0::DOUBLE * (p99 - p1) END', 'thr')} FROM m""")
+m AS (SELECT scene, p1, p99, first(bin ORDER BY sb DESC, bin) AS t FROM v GROUP BY ALL)"""
+OTSU_THR = "CASE WHEN p99 <= p1 + 1e-6 THEN -0.05 ELSE p1 + t / 255.0::DOUBLE * (p99 - p1) END"
+
+
+@query(f"WITH {X.INDEXED}, {OTSU} SELECT scene, {rsql(OTSU_THR, 'thr')} FROM m")
+def otsu_threshold(s, d):
+    return _pick(adaptive.otsu_thresholds(X.indexed(s, d), ["scene"]), ["scene"], thr=F.col("thr"))
+
+
+@query(f"WITH {X.INDEXED}, t AS (SELECT scene, quantile_cont(mndwi, 0.85) AS thr FROM indexed GROUP BY ALL) SELECT scene, r, c, {rsql('thr', 'thr')}, mndwi > thr AS water FROM indexed JOIN t USING (scene)")
+def water_mask_quantile(s, d):
+    found = adaptive.water_mask_quantile(X.indexed(s, d), ["scene"])
+    return found.select(*AT, R(F.col("thr")).alias("thr"), "water")
+
+
+@query(f"WITH {X.INDEXED} SELECT scene, r, c, mndwi > -0.05 AS water FROM indexed")
+def water_mask_fixed(s, d):
+    return adaptive.water_mask_fixed(X.indexed(s, d)).select(*AT, "water")
+
+
+OTSU = """q AS (SELECT scene, quantile_cont(mndwi, 0.01) AS p1, quantile_cont(mndwi, 0.99) AS p99 FROM indexed GROUP BY ALL),
+b AS (SELECT scene, p1, p99, trunc(least(greatest((least(greatest(mndwi, p1), p99) - p1) / (p99 - p1 + 1e-6) * 255.0, 0), 255))::INTEGER AS bin FROM indexed JOIN q USING (scene)),
+h AS (SELECT scene, p1, p99, bin, count(*) AS n FROM b GROUP BY ALL),
+cs AS (SELECT *, sum(n) OVER o AS n0, sum(n * bin) OVER o AS s0, sum(n) OVER (PARTITION BY scene) AS nn, sum(n * bin) OVER (PARTITION BY scene) AS ss FROM h WINDOW o AS (PARTITION BY scene ORDER BY bin)),
+v AS (SELECT scene, p1, p99, bin, round(CASE WHEN nn > n0 THEN n0 * (nn - n0) * pow(s0 / n0::DOUBLE - (ss - s0) / (nn - n0)::DOUBLE, 2) ELSE 0.0 END, 6) AS sb FROM cs),
+m AS (SELECT scene, p1, p99, first(bin ORDER BY sb DESC, bin) AS t FROM v GROUP BY ALL)"""
+OTSU_THR = "CASE WHEN p99 <= p1 + 1e-6 THEN -0.05 ELSE p1 + t / 255.0::DOUBLE * (p99 - p1) END"
+
+
+@query(f"WITH {X.INDEXED}, {OTSU} SELECT scene, {rsql(OTSU_THR, 'thr')} FROM m")
 def otsu_threshold(s, d):
     return _pick(adaptive.otsu_thresholds(X.indexed(s, d), ["scene"]), ["scene"], thr=F.col("thr"))
 
@@ -398,24 +452,22 @@ def rgb_stretch(s, d):
 
 # composed scene layers up to the refined score
 
-_REFINE = f"""f AS (SELECT scene, r, c, mndwi, ndvi * {_conf('ndvi_den')} AS ndvi, ndbi * {_conf('ndbi_den')} AS ndbi, vv, vh, water_prob, water_prob >= 0.5 AS wet FROM water),
+REFINE = f"""f AS (SELECT scene, r, c, mndwi, ndvi * {_conf('ndvi_den')} AS ndvi, ndbi * {_conf('ndbi_den')} AS ndbi, vv, vh, water_prob, water_prob >= 0.5 AS wet FROM water),
 far AS (SELECT a.scene, a.r, a.c, min(CASE WHEN b.r IS NULL THEN 1e6 ELSE 0.955 * abs(abs(a.r - b.r) - abs(a.c - b.c)) + 1.3693 * least(abs(a.r - b.r), abs(a.c - b.c)) END) AS px
         FROM f AS a LEFT JOIN f AS b ON a.scene = b.scene AND b.wet GROUP BY ALL),
 g AS (SELECT f.*, px * 10.0 AS dist, CASE WHEN wet OR px * 10.0 > 800.0 THEN 0.0 ELSE exp(-px * 10.0 / 120.0) END AS coast FROM f JOIN far USING (scene, r, c)),
 h AS (SELECT *, {csql(_sg('-0.3 + 2.0 * coast + 1.0 * ((ndbi + 1) * 0.5 - 0.5) + 0.9 * ((1.0 - (ndvi + 1) * 0.5) - 0.5)'), '0.02', '0.98')} AS prior FROM g)"""
 
 
-def _refined(s, d):
+REFINED_SQL = f'CASE WHEN water_prob > 0.95 THEN 0.0 ELSE {_sg(_lg("vh") + " + 0.55 * " + _lg("prior"))} END'
+
+
+def refined(s, d):
     raw = X.scene(s, d).withColumn("prob_raw", F.col("b7"))
     return clusters.refine(raw, ["scene"], 10.0)
 
 
-@query(f"""WITH {X.INDEXED}, {_WATER}, {_REFINE} SELECT scene, r, c, {rsql('water_prob', 'water_prob')}, {rsql('dist', 'dist_to_water_m')}, {rsql('coast', 'coast')},
-{rsql(f'CASE WHEN water_prob > 0.95 THEN 0.0 ELSE {_sg(_lg("vh") + " + 0.55 * " + _lg("prior"))} END', 'prob_refined')} FROM h""")
+@query(f"""WITH {X.INDEXED}, {WATER}, {REFINE} SELECT scene, r, c, {rsql('water_prob', 'water_prob')}, {rsql('dist', 'dist_to_water_m')}, {rsql('coast', 'coast')},
+{rsql(REFINED_SQL, 'prob_refined')} FROM h""")
 def refine_scene(s, d):
-    return _pick(_refined(s, d), AT, **{c: F.col(c) for c in ("water_prob", "dist_to_water_m", "coast", "prob_refined")})
-
-
-@query()
-def refine_mask(s, d):
-    return clusters.spatial_mask(_refined(s, d), ["scene"], 30.0, 8)
+    return _pick(refined(s, d), AT, **{c: F.col(c) for c in ("water_prob", "dist_to_water_m", "coast", "prob_refined")})

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidewright.functions import pixel as P
 from tidewright.functions.kernels import ellipse
 from tidewright.operators import metrics, region, spacetime, stencil
+from tidewright.plans import clusters
 from tidewright.plans import fixtures as X
+from tidewright.plans import pixel_queries as Q
 from tidewright.plans.fixtures import rsql
 
 QUERIES, ORACLES = {}, {}
@@ -67,12 +69,13 @@ def boundary_ignore(s, d):
     return stencil.boundary_ignore(_mask(s, d), KEYS, "m", block=8)
 
 
-def _labels(where: str) -> str:
-    """CTEs: components of pixels of ``stack`` with ``where``; label is the first pixel's code."""
-    return f"""px AS (SELECT cluster_id, year, r, c, r::BIGINT * 2147483648 + c AS code FROM stack WHERE {where}),
-reach AS (SELECT cluster_id, year, r, c, r AS r2, c AS c2, code FROM px
-  UNION SELECT a.cluster_id, a.year, a.r, a.c, b.r, b.c, b.code FROM reach AS a JOIN px AS b ON a.cluster_id = b.cluster_id AND a.year = b.year AND abs(a.r2 - b.r) <= 1 AND abs(a.c2 - b.c) <= 1),
-lab AS (SELECT cluster_id, year, r, c, min(code) AS label FROM reach GROUP BY ALL)"""
+def _labels(where: str, source: str = "stack", tag: str = "") -> str:
+    """CTEs: components of pixels of ``source`` with ``where``; label is the first pixel's code."""
+    px, reach = f"px{tag}", f"reach{tag}"
+    return f"""{px} AS (SELECT cluster_id, year, r, c, r::BIGINT * 2147483648 + c AS code FROM {source} WHERE {where}),
+{reach} AS (SELECT cluster_id, year, r, c, r AS r2, c AS c2, code FROM {px}
+  UNION SELECT a.cluster_id, a.year, a.r, a.c, b.r, b.c, b.code FROM {reach} AS a JOIN {px} AS b ON a.cluster_id = b.cluster_id AND a.year = b.year AND abs(a.r2 - b.r) <= 1 AND abs(a.c2 - b.c) <= 1),
+lab{tag} AS (SELECT cluster_id, year, r, c, min(code) AS label FROM {reach} GROUP BY ALL)"""
 
 
 @query(f"WITH RECURSIVE {X.STACK}, {_labels('port')} SELECT cluster_id, year, r, c, label FROM lab")
@@ -306,3 +309,27 @@ def validation_record(s, d):
     one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  single rows side by side
     return one(rates).join(one(iou), "_one").join(one(best), "_one").drop("_one")
 
+
+
+# masks of scenes: one year each, so the CTEs of stacks serve them too
+
+_SCENE_YEAR = "scene AS cluster_id, 0 AS year, r, c"
+
+
+@query(f"""WITH RECURSIVE {X.INDEXED}, {Q.OTSU}, wet AS (SELECT {_SCENE_YEAR}, {Q.OTSU_THR} AS thr, p99 <= p1 + 1e-6 AS flat, mndwi > {Q.OTSU_THR} AS m FROM indexed JOIN m USING (scene)),
+{_ero('o1', 'wet', 2)}, {_dil('o2', 'o1', 2)}, {_dil('s1', 'o2', 3)}, {_ero('s2', 's1', 3)}, {_labels('m', 's2')}, n AS (SELECT cluster_id, label, count(*) AS n FROM lab GROUP BY ALL)
+SELECT w.cluster_id AS scene, w.r, w.c, {rsql('w.thr', 'thr')}, CASE WHEN flat THEN w.m ELSE coalesce(n >= 20, false) END AS water
+FROM wet AS w LEFT JOIN lab AS l USING (cluster_id, year, r, c) LEFT JOIN n ON n.cluster_id = w.cluster_id AND n.label = l.label""")
+def otsu_water_mask(s, d):
+    found = region.water_mask_otsu(X.indexed(s, d), ["scene"], block=8, least=20)
+    return found.select("scene", "r", "c", R(F.col("thr")).alias("thr"), "water")
+
+
+@query(f"""WITH RECURSIVE {X.INDEXED}, {Q.WATER}, {Q.REFINE}, stack AS (SELECT {_SCENE_YEAR}, {Q.REFINED_SQL} AS p, water_prob FROM h),
+{_labels('p >= 0.40 AND water_prob < 0.5')}, good AS (SELECT DISTINCT cluster_id, label FROM lab JOIN stack USING (cluster_id, year, r, c) WHERE p >= 0.65 AND water_prob < 0.5),
+k0 AS (SELECT s.cluster_id, s.year, s.r, s.c, g.label IS NOT NULL AS m FROM stack AS s LEFT JOIN lab USING (cluster_id, year, r, c) LEFT JOIN good AS g ON g.cluster_id = s.cluster_id AND g.label = lab.label),
+{_dil('k1', 'k0', 3)}, {_ero('k2', 'k1', 3)}, {_ero('k3', 'k2', 2)}, {_dil('k4', 'k3', 2)}, {_labels('m', 'k4', '2')}, n AS (SELECT cluster_id, label, count(*) AS n FROM lab2 GROUP BY ALL)
+SELECT k.cluster_id AS scene, k.r, k.c, coalesce(n >= ceil(12000.0 / 900.0), false) AS mask
+FROM k4 AS k LEFT JOIN lab2 AS l USING (cluster_id, year, r, c) LEFT JOIN n ON n.cluster_id = k.cluster_id AND n.label = l.label""")
+def refine_mask(s, d):
+    return clusters.spatial_mask(Q.refined(s, d), ["scene"], 30.0, 8)

@@ -101,10 +101,13 @@ def _net(sign: str, step: str) -> str:
     return f"coalesce(sum(area_m2 * {step}) FILTER ({sign}), 0.0)"
 
 
-@query(f"""WITH {X.STACK}, {_EARLY}, wide AS (SELECT DISTINCT cluster_id, r + dr AS r, c + dc AS c FROM early, {_ELLIPSE5} WHERE wet >= 0.9),
+_ACCOUNT = f"""{_EARLY}, wide AS (SELECT DISTINCT cluster_id, r + dr AS r, c + dc AS c FROM early, {_ELLIPSE5} WHERE wet >= 0.9),
 m AS (SELECT s.*, port::INTEGER - first_value(port) OVER t::INTEGER AS fb, port::INTEGER - coalesce(lag(port) OVER t, port)::INTEGER AS fp,
       w.r IS NOT NULL AND NOT first_value(port) OVER t AS sea FROM stack AS s LEFT JOIN wide AS w USING (cluster_id, r, c) WINDOW t AS (PARTITION BY s.cluster_id, s.r, s.c ORDER BY year)),
-a AS (SELECT cluster_id, year, coalesce(sum(area_m2) FILTER (port), 0.0) AS area_m2, {_net('sea', 'fb')} AS sb, {_net('NOT sea', 'fb')} AS lb, {_net('sea', 'fp')} AS sa, {_net('NOT sea', 'fp')} AS la FROM m GROUP BY ALL)
+a AS (SELECT cluster_id, year, coalesce(sum(area_m2) FILTER (port), 0.0) AS area_m2, {_net('sea', 'fb')} AS sb, {_net('NOT sea', 'fb')} AS lb, {_net('sea', 'fp')} AS sa, {_net('NOT sea', 'fp')} AS la FROM m GROUP BY ALL)"""
+
+
+@query(f"""WITH {X.STACK}, {_ACCOUNT}
 SELECT cluster_id, year, min(year) OVER (PARTITION BY cluster_id) AS base_year, 'WGS84 pixel area by raster row' AS area_method, {rsql('area_m2', _CHANGES[0])}, {rsql('sb', _CHANGES[1])}, {rsql('lb', _CHANGES[2])},
 {rsql('sb + lb', _CHANGES[3])}, {rsql('sa', _CHANGES[4])}, {rsql('la', _CHANGES[5])}, {rsql('sa + la', _CHANGES[6])} FROM a""")
 def area_accounting(s, d):
@@ -112,6 +115,20 @@ def area_accounting(s, d):
     return found.withColumns({c: R(F.col(c)) for c in _CHANGES})
 
 
+@query(f"""WITH {X.STACK}, {_ACCOUNT}
+SELECT cluster_id, cluster_id + 100 AS cluster_uid, year, min(year) OVER (PARTITION BY cluster_id) AS base_year, 'WGS84 pixel area by raster row' AS area_method, {rsql('area_m2', 'area_m2_hstgo')},
+{rsql('sb', _CHANGES[1])}, {rsql('lb', _CHANGES[2])}, {rsql('sb + lb', _CHANGES[3])}, {rsql('sa', _CHANGES[4])}, {rsql('la', _CHANGES[5])}, {rsql('sa + la', _CHANGES[6])},
+CASE WHEN cluster_id % 2 = 0 THEN 'P' || cluster_id ELSE '' END AS resolved_portids FROM a""")
+def result_rows(s, d):
+    """The change table as a run writes it, thirteen columns in order."""
+    x = X.stack(s, d)
+    every = x.select("cluster_id").distinct()
+    ports = every.where("cluster_id % 2 = 0").withColumn("ports", F.concat(F.lit("P"), F.col("cluster_id").cast("string")))
+    changes = accounting.account(x, ["cluster_id"], threshold=0.9, block=8)
+    found = clusters.result_rows(changes, every.withColumn("cluster_uid", F.col("cluster_id") + 100), ports)
+    return found.withColumns({c: R(F.col(c)) for c in ("area_m2_hstgo", *_CHANGES[1:])})
+
+
 @query(f"WITH {X.STACK}, a AS (SELECT cluster_id, year, count(*) FILTER (port) AS px FROM stack GROUP BY ALL) SELECT cluster_id, year, px FROM a")
 def arrays_zip_rows(s, d):
     px = X.stack(s, d).groupBy("cluster_id", "year").agg(F.count_if("port").alias("px"))
@@ -213,7 +230,15 @@ def bilinear_resize(s, d):
     return found.withColumn("v", R(F.col("v")))
 
 
-@query()
+_MIRROR = lambda i: f"(CASE WHEN abs({i}) % 14 < 8 THEN abs({i}) % 14 ELSE 14 - abs({i}) % 14 END)"
+
+
+@query(f"""WITH {X.SCENE}, g AS (SELECT r::INTEGER AS r, c::INTEGER AS c, r - 4 - 0.2::DOUBLE AS y, c - 4 + 0.1::DOUBLE AS x FROM range(8) AS a(r), range(8) AS b(c)),
+p AS (SELECT r, c, (sin(radians(5.0)) * x + cos(radians(5.0)) * y) / 1.03 + 4 AS sy, (cos(radians(5.0)) * x - sin(radians(5.0)) * y) / 1.03 + 4 AS sx FROM g),
+f AS (SELECT r, c, floor(sy)::INTEGER AS y0, floor(sx)::INTEGER AS x0, sy - floor(sy) AS fy, sx - floor(sx) AS fx FROM p),
+t AS (SELECT r, c, y0 + i AS y, x0 + j AS x, (CASE i WHEN 0 THEN 1 - fy ELSE fy END) * (CASE j WHEN 0 THEN 1 - fx ELSE fx END) AS w FROM f, range(2) AS k(i), range(2) AS l(j)),
+m AS (SELECT r, c, {_MIRROR('y')} AS y, {_MIRROR('x')} AS x, w FROM t)
+SELECT scene, m.r, m.c, {rsql('sum(w * b6)', 'v')} FROM m JOIN scene AS s ON s.r = m.y AND s.c = m.x GROUP BY scene, m.r, m.c""")
 def affine_warp(s, d):
     from tidewright.operators.stencil import affine_warp as warp
 

@@ -10,7 +10,8 @@ import json
 from dataclasses import asdict, is_dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LAYERS = ("prob_raw", "prob_refined", "water_prob", "dist_to_water_m", "mask_spatial", "water_mask")
 
@@ -32,6 +33,14 @@ def write_summaries(df: DataFrame, path: str, key: str = "cluster_id") -> None:
     writer.partitionBy(key).json(path)
 
 
+def done_clusters(spark: SparkSession, path: str, key: str = "cluster_id") -> DataFrame:
+    """(key) of the clusters that have a summary; none where nothing was written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"{key} int")
+    return spark.read.json(path).select(F.col(key).cast("int")).distinct()
+
+
 def write_changes(df: DataFrame, path: str, resume: bool = True) -> None:
     """The change table as CSV with a header: appended when resuming, else anew."""
     df.write.mode("append" if resume else "overwrite").csv(path, header=True)
