@@ -164,6 +164,34 @@ def test_whole_run_and_resume(spark):
     assert {r.cluster_id for r in again} == {1} and len(again) == 3
 
 
+@pytest.mark.parametrize("reach", [0, 3])
+def test_distances_far_beyond_the_reach(spark, reach):
+    """Tiles of 4 by 4 pixels, sources up to ten tiles away: the distances of whole scenes."""
+    m = np.zeros((3, 37, 30), bool)
+    m[0, 1, 2] = m[0, 36, 0] = m[1, 18, 29] = True  # the last scene has none
+    df = grid(spark, {"m": m})
+    found = back(stencil.distance_to(df, ["k"], "m", block=4, reach=reach), "dist_px", m.shape).astype(float)
+    for k in range(3):
+        assert found[k] == pytest.approx(N.chamfer(m[k]))
+    assert (found[2] == 1e6).all()
+    holes = df.where("not (r between 10 and 20 and c between 5 and 25)")
+    some = {(r.k, r.r, r.c): r.dist_px for r in stencil.distance_to(holes, ["k"], "m", block=4, reach=reach).collect()}
+    assert len(some) == holes.count() and all(v >= 0 for v in some.values())
+
+
+def test_seams_are_united_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(region, "FAN", 2)
+    rng = np.random.default_rng(8)
+    m = rng.random((3, 40, 33)) < 0.45
+    m[2] = False
+    m[2, :, 7] = m[2, 3, :] = m[2, 39, :] = True
+    found = back(region.components(grid(spark, {"m": m}), ["k"], "m", block=3), "label", m.shape)
+    for k in range(3):
+        want = N.components(m[k])
+        codes = np.where(m[k], (want // 33) * (1 << 31) + want % 33, 0)
+        assert (np.where(m[k], found[k], 0).astype(int) == codes).all()
+
+
 def test_a_run_with_all_outputs(spark, tmp_path):
     """One cluster without a year and one with broken areas fail by themselves; the others are written and marked done."""
     df = scenes(spark, clusters_=4)

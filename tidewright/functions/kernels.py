@@ -102,11 +102,16 @@ def components(m: np.ndarray) -> np.ndarray:
 
 
 def chamfer(source: np.ndarray, straight: float = K.CHAMFER_STRAIGHT, diagonal: float = K.CHAMFER_DIAGONAL) -> np.ndarray:
-    """3x3 chamfer distance to the nearest source pixel, by a pass down and one up."""
-    h, w = source.shape
-    d = np.where(source, 0.0, np.inf)
+    """3x3 chamfer distance to the nearest source pixel; a fixed one where there is none."""
     if not source.any():
-        return np.full((h, w), K.NO_WATER_PX)
+        return np.full(source.shape, K.NO_WATER_PX)
+    return relax(np.where(source, 0.0, np.inf), straight, diagonal)
+
+
+def relax(known: np.ndarray, straight: float = K.CHAMFER_STRAIGHT, diagonal: float = K.CHAMFER_DIAGONAL) -> np.ndarray:
+    """Least of ``known`` plus the 3x3 chamfer distance to it, by a pass down and one up."""
+    h, w = known.shape
+    d = known.copy()
     place = np.arange(w) * straight
     for rows in (range(h), range(h - 1, -1, -1)):
         last = None

@@ -1,8 +1,11 @@
 """Connected components and what is built on them.
 
-Tiles label their own pixels by a run-based kernel; labels of neighbouring
-tiles are united over the pixels along the seams, a list as long as the seams,
-not the scene.  No iteration over the pixel table takes place.
+Tiles label their own pixels by a run-based kernel, with the first pixel of
+each component; labels of neighbouring tiles are united over the pixels along
+the seams, a list as long as the seams, not the scene.  Seams are united level
+by level: those inside a square of ``FAN`` by ``FAN`` tiles first, then those
+inside a square of such squares, so no task holds all seams of a large scene.
+No iteration over the pixel table takes place.
 """
 
 from __future__ import annotations
@@ -38,35 +41,62 @@ def _united(group: pd.DataFrame) -> pd.DataFrame:
     return keys.assign(label=labels, root=[find(x) for x in labels])
 
 
+#: Tiles along one side of the square whose seams one task unites.
+FAN = 16
+
+
+def _seams(tiled: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """(keys, a, b, level, sr, sc): touching labels of different tiles, and the least square that holds both tiles."""
+    edge = lambda x: (F.col(x) % block == 0) | (F.col(x) % block == block - 1)
+    tile = [F.floor(F.col(x) / block).cast("int").alias(n) for x, n in (("r", "br"), ("c", "bc"))]
+    rim = tiled.where(edge("r") | edge("c")).select(*keys, "r", "c", *tile, "label")
+    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    near = rim.select(*keys, F.col("br").alias("abr"), F.col("bc").alias("abc"), F.col("label").alias("a"), "r", "c", F.explode(steps).alias("s")).select(
+        *keys, "abr", "abc", "a", (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"),
+    )
+    pairs = near.join(rim.withColumnRenamed("label", "b"), [*keys, "r", "c"]).where("abr != br or abc != bc")
+    apart = lambda n: (F.floor(F.col("abr") / n) != F.floor(F.col("br") / n)) | (F.floor(F.col("abc") / n) != F.floor(F.col("bc") / n))
+    level = F.lit(1)
+    for k in range(1, 7):  # 16^6 tiles along a side are more than any scene has
+        level = level + apart(FAN**k).cast("int")
+    square = lambda x: F.floor(F.col(x) / F.pow(F.lit(float(FAN)), F.col("level"))).cast("int")
+    return pairs.withColumn("level", level).select(*keys, "a", "b", "level", square("abr").alias("sr"), square("abc").alias("sc")).distinct()
+
+
+def _roots(seams: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
+    """(keys, label, root) of all labels that touch another tile's, from squares of tiles to squares of squares."""
+    levels = seams.agg(F.max("level")).first()[0] or 1
+    roots = None
+    for level in range(1, levels + 1):
+        mine = seams.where(F.col("level") == level)
+        if roots is not None:
+            for end in ("a", "b"):
+                known = roots.select(*keys, F.col("label").alias(end), F.col("root").alias("_r"))
+                mine = mine.join(known, [*keys, end], "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+            mine = mine.where("a != b").distinct()
+        made = mine.groupBy(*keys, "sr", "sc").applyInPandas(lambda g: _united(g.drop(columns=["level", "sr", "sc"])), schema)
+        if levels == 1:
+            return made
+        made = cut(made, "level-roots")
+        if roots is not None:
+            later = made.select(*keys, F.col("label").alias("root"), F.col("root").alias("_r"))
+            moved = roots.join(later, [*keys, "root"], "left").select(*keys, "label", F.coalesce("_r", "root").alias("root"))
+            made = cut(moved.unionByName(made.join(roots.select(*keys, "label"), [*keys, "label"], "left_anti")), "roots")
+        roots = made
+    return roots
+
+
 def components(df: DataFrame, keys: list[str], mask: str, block: int = K.BLOCK) -> DataFrame:
     """(keys, r, c, label) of set pixels; ``label`` codes the component's first pixel in row-major order."""
-    def kernel(present, m):
+    def kernel(present, m, r0, c0):
         lab = N.components(m & present)
-        return (lab,)
+        return ((r0 + lab // m.shape[1]) * _ROW + c0 + lab % m.shape[1],)
 
     set_pixels = df.where(F.col(mask)).select(*keys, "r", "c", mask)
-    local = apply_tiles(set_pixels, keys, [mask], {"place": "bigint"}, kernel, 0, block)
-    # a place counts from the tile's first set row and column: name it by its pixel instead
-    tile = [F.floor(F.col("r") / block).alias("br"), F.floor(F.col("c") / block).alias("bc")]
-    coded = local.select("*", *tile, (F.col("r").cast("long") * _ROW + F.col("c")).alias("code"))
-    first = coded.groupBy(*keys, "br", "bc", "place").agg(F.min("code").alias("label"))
-    tiled = cut(coded.join(first, [*keys, "br", "bc", "place"]).select(*keys, "r", "c", "br", "bc", "label"), "tile-labels")
-    edge = lambda x: (F.col(x) % block == 0) | (F.col(x) % block == block - 1)
-    rim = tiled.where(edge("r") | edge("c"))
-    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    near = rim.select(*keys, "br", "bc", F.col("label").alias("a"), "r", "c", F.explode(steps).alias("s")).select(
-        *keys, F.col("br").alias("abr"), F.col("bc").alias("abc"), "a",
-        (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"),
-    )
-    pairs = (
-        near.join(rim.withColumnRenamed("label", "b"), [*keys, "r", "c"])
-        .where((F.col("abr") != F.col("br")) | (F.col("abc") != F.col("bc")))
-        .select(*keys, "a", "b")
-        .distinct()
-    )
+    tiled = cut(apply_tiles(set_pixels, keys, [mask], {"label": "bigint"}, kernel, 0, block, origin=True), "tile-labels")
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("label", T.LongType()), T.StructField("root", T.LongType())])
-    roots = pairs.groupBy(*keys).applyInPandas(_united, schema)
-    named = tiled.join(roots, [*keys, "label"], "left")
+    seams = cut(_seams(tiled, keys, block), "seams")
+    named = tiled.join(_roots(seams, keys, schema), [*keys, "label"], "left")
     return named.select(*keys, "r", "c", F.coalesce("root", "label").alias("label"))
 
 

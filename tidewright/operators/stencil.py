@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import constants as K
 from tidewright.functions import kernels as N
 from tidewright.operators.tiles import apply_tiles
+from tidewright.tables import cut, drop
 
 
 def _morph(df: DataFrame, keys: list[str], mask: str, kernel, reach: int, block: int) -> DataFrame:
@@ -88,12 +89,34 @@ def affine_warp(df: DataFrame, keys: list[str], value: str, degrees: float, scal
 def distance_to(df: DataFrame, keys: list[str], mask: str, block: int | None = None, reach: int = 96) -> DataFrame:
     """(keys, r, c, dist_px): chamfer distance to the nearest set pixel.
 
-    Whole scenes by default.  With ``block``, tiles with a halo of ``reach``
-    pixels: then distances of up to ``0.955 * reach`` are exact and larger ones
-    only known to be larger, which is all that a distance limit needs.
+    Whole scenes by default, a task each.  With ``block`` tiles work together:
+    first each with a halo of ``reach`` pixels, then the tiles' outer rings of
+    pixels are exchanged between neighbours until no distance changes, as many
+    rounds as tiles lie between a pixel and the reach of its nearest source.
+    Only rings move in a round, and the result is that of whole scenes.
     """
-    def kernel(p: np.ndarray, m: np.ndarray) -> tuple[np.ndarray]:
-        return (N.chamfer(m & p),)
-
-    pad, size = (0, 1 << 30) if block is None else (reach, block)
-    return apply_tiles(df, keys, [mask], {"dist_px": "double"}, kernel, pad, size)
+    if block is None:
+        return apply_tiles(df, keys, [mask], {"dist_px": "double"}, lambda p, m: (N.chamfer(m & p),), 0, 1 << 30)
+
+    def near(p: np.ndarray, m: np.ndarray) -> tuple[np.ndarray]:
+        return (N.relax(np.where(m & p, 0.0, np.inf)),)
+
+    def further(p: np.ndarray, d: np.ndarray) -> tuple[np.ndarray]:
+        return (N.relax(np.where(p, d, np.inf)),)
+
+    outer = [(F.col(x) % block == 0) | (F.col(x) % block == block - 1) for x in ("r", "c")]
+    ring = cut(apply_tiles(df, keys, [mask], {"d": "double"}, near, reach, block).where(outer[0] | outer[1]), "ring")
+    state = F.bit_xor(F.xxhash64(*keys, "r", "c", "d"))
+    seen = ring.agg(state).first()[0]
+    while True:
+        moved = cut(apply_tiles(ring, keys, ["d"], {"d": "double"}, further, 1, block), "ring")
+        drop(ring)
+        ring, last, seen = moved, seen, moved.agg(state).first()[0]
+        if seen == last:
+            break
+    known = F.when(F.col(mask), 0.0).otherwise(F.coalesce("d", F.lit(float("inf"))))
+    joined = df.select(*keys, "r", "c", mask).join(ring, [*keys, "r", "c"], "left").withColumn("d", known)
+    found = apply_tiles(joined, keys, ["d"], {"dist_px": "double"}, further, 1, block)
+    # rounded: sums of steps differ in the last bits with the way they were taken
+    far = F.when(F.col("dist_px") < float("inf"), F.round("dist_px", 9)).otherwise(K.NO_WATER_PX)
+    return found.withColumn("dist_px", far)

@@ -38,8 +38,9 @@ def apply_tiles(
     pad: int,
     block: int = K.BLOCK,
     time: str | None = None,
+    origin: bool = False,
 ) -> DataFrame:
-    """Run ``kernel(present, *inputs)`` on every tile; (keys, r, c, outputs).
+    """Run ``kernel(present, *inputs)`` on every tile; (keys, r, c, outputs).  With ``origin`` it gets the tile's first row and column too.
 
     Arrays are 2-D, or with ``time`` 3-D with the tile's sorted times first
     (then ``time`` is a result column too).  Missing pixels are 0 or False and
@@ -71,7 +72,7 @@ def apply_tiles(
             a = np.zeros(shape, bool if c in boolean else float)
             a[at] = group[c].fillna(False if c in boolean else 0.0).to_numpy(a.dtype)
             fields.append(a)
-        made = kernel(present, *fields)
+        made = kernel(present, *fields, *((r0, c0) if origin else ()))
         where = np.nonzero(present)
         rr, cc = where[-2] + r0, where[-1] + c0
         own = (rr // block == br) & (cc // block == bc)

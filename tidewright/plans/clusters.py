@@ -31,8 +31,8 @@ class RunConfig:
     pad: int = K.PAD
     pixel_m: float = 10.0
     sea_water: float = K.SEA_WATER
-    #: Tile side of the distance layer; None takes whole scenes, a task each. Tiles see ``distance_reach``
-    #: pixels beyond their side, so distances up to 0.955 times that are exact, enough for the coast layer.
+    #: Tile side of the distance layer; None takes whole scenes, a task each. Tiles first see ``distance_reach``
+    #: pixels beyond their side, then exchange their rings: the result is the same.
     distance_block: int | None = None
     distance_reach: int = 96
 
@@ -41,8 +41,8 @@ class RunConfig:
             raise ValueError("year_min is after year_max")
         if self.block <= 0 or self.pad < 0:
             raise ValueError("block must be positive and pad not negative")
-        if self.distance_block and self.distance_reach * 0.955 * self.pixel_m < K.COAST_MAX_M:
-            raise ValueError("distance_reach is short of the coast layer's limit")
+        if self.distance_block is not None and (self.distance_block <= 0 or self.distance_reach < 0):
+            raise ValueError("distance_block must be positive and distance_reach not negative")
 
 
 @dataclass(frozen=True)
