@@ -475,3 +475,30 @@ def test_stages_return_the_columns_of_documents(spark):
         empty = stage(spark, docs.where("false"), DATA)
         assert empty.columns == docs.columns and empty.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), DATA).count() == 0
+
+
+def test_stages_with_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    """Extra columns named as the operators' own keep their values; null, empty and repeated rows fare as stated."""
+    item = " ".join(f"question{k}" for k in range(20))
+    prose = lambda x: " ".join(f"{x}{k} the and house of" for k in range(12))
+    texts = [(1, prose("a"), "en"), (1, prose("a"), "en"), (2, None, "en"), (3, "", None), (4, item, "en"), (5, "123 ...", "en"), (None, prose("b"), None)]
+    extra = ["lang_pred", "score", "contaminated", "n_words", "hit_spans", "_name", "_place", "_bare", "_h", "d", "sig", "ids"]
+    rows = [(i, t, lang, f"s{k}", len(t or ""), *[f"{c}-{k}" for c in extra]) for k, (i, t, lang) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        left[name] = sorted(int(r.source[1:]) for r in out.collect())
+        assert all(tuple(r) in rows for r in out.collect())
+    assert left == {
+        "language_id": [0, 1, 4, 6],
+        "exact_dedup": [0, 2, 4, 5, 6],
+        "minhash_near_dedup": [0, 1, 2, 3, 4, 5, 6],
+        "benchmark_decontamination": [0, 1, 2, 3, 5, 6],
+    }
+    assert corpus_pipeline.benchmark_decontamination(spark, docs, f"{tmp_path}/none").count() == 7
+    coded = corpus_pipeline.bpe_encoding(spark, docs, str(tmp_path)).collect()
+    assert len(coded) == 7 and all((r.n_tokens == 0) == (r.source in ("s2", "s3")) and len(r.ids) == r.n_tokens for r in coded)
