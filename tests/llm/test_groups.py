@@ -359,6 +359,15 @@ def test_resampling_equals_brute_force(spark):
     assert [r.kept for r in order] == [True] * k + [False] * (len(texts) - k)
 
 
+def test_weights_do_not_depend_on_batches(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["good", "fine", "bad", "junk", "é"]) for _ in range(rng.randrange(0, 300))) for _ in range(200)]
+    target = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "doc_id long")
+    weights = lambda df: {r.doc_id: (r.log_weight, r.gumbel_key) for r in resampling.resample(df, target, 0.5).collect()}
+    rows = list(enumerate(texts))
+    assert weights(table(spark, rows).coalesce(1)) == weights(table(spark, rows[::-1]).repartition(7))
+
+
 def test_gumbel_noise_draws_by_weight(spark):
     """Of many equal texts any can be drawn, and noise has the Gumbel mean."""
     rows = [(i, "same text") for i in range(4000)]

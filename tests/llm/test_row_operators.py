@@ -534,6 +534,13 @@ def test_warc_round_trip(spark):
     assert warc.read_records(folder, index).count() == 0
 
 
+def test_urls_come_back_as_they_were(spark):
+    urls = [None, "", " ", "http://a/b c\r\nX: y", "\thttp://a%20b ", "http://a/%41", "http://é/\u2028x\x85", "http://plain/?q=%20"]
+    df = spark.createDataFrame([(i, u, f"<p>{i}", "mine") for i, u in enumerate(urls)], "id long, link string, body string, url string")
+    folder, index = warc.write_archives(df, id_col="id", url_col="link", html_col="body")
+    assert {r.page_id: r.url for r in warc.read_records(folder, index).collect()} == dict(enumerate(urls))
+
+
 def test_damaged_record_is_found(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "y" * 300)], "page_id long, url string, html string")
     folder, index = warc.write_archives(df, f"file://{tmp_path}/w")

@@ -146,10 +146,12 @@ def resample(
             sizes, sums = [], []
             for part in batches(texts):
                 at, n = grams(texts[part])
-                total = np.concatenate(([0.0], np.cumsum(ratios[at])))
-                ends = np.cumsum(n)
+                some = np.flatnonzero(n)
+                total = np.zeros(len(n))
+                # a sum for each text by itself, so it doesn't depend on the texts beside it
+                total[some] = np.add.reduceat(ratios[at], (np.cumsum(n) - n)[some]) if len(some) else 0.0
                 sizes += n.tolist()
-                sums += (total[ends] - total[ends - n]).round(9).tolist()
+                sums += total.round(9).tolist()
             return [sizes, sums]
 
         return kernel

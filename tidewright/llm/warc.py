@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +33,10 @@ INDEX = (
 )
 
 
+_UNSAFE = re.compile(r"[\s\x00-\x1f\x7f-\x9f]")
+_ESCAPED = re.compile(r"[\s\x00-\x1f\x7f-\x9f%]")
+
+
 def _store(folder: str):
     """(file system, path) of a folder by URI; works for local, shared and object stores."""
     from pyarrow import fs
@@ -38,6 +44,22 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:/", "file:///", 1))
 
 
+def _uri_fields(url: str | None) -> list[str]:
+    """Header lines of a URL: none if null; one with white space or control characters is escaped, and says so."""
+    if url is None:
+        return []
+    if not _UNSAFE.search(url):
+        return [f"WARC-Target-URI: {url}"]
+    escaped = _ESCAPED.sub(lambda m: quote(m[0], safe="", errors="surrogatepass"), url)
+    return [f"WARC-Target-URI: {escaped}", "X-Target-URI-Escaped: yes"]
+
+
+def target_uri(fields: dict[str, str]) -> str | None:
+    """The URL of a record's header fields, as it was written."""
+    uri = fields.get("warc-target-uri")
+    return unquote(uri, errors="surrogatepass") if uri and fields.get("x-target-uri-escaped") else uri
+
+
 def record(page_id, url, payload: bytes | None, size: int, digest: str, refers_to) -> bytes:
     """One WARC/1.1 record; ``payload`` None makes a revisit record."""
     kind = "response" if payload is not None else "revisit"
@@ -47,7 +69,7 @@ def record(page_id, url, payload: bytes | None, size: int, digest: str, refers_t
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {name(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {'' if url is None else ' '.join(url.split())}",
+        *_uri_fields(url),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {size}",
     ]
@@ -101,8 +123,10 @@ def _writer(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
-    """Write a record per row of ``pages`` (page_id, url, html); (folder, index).
+def write_archives(
+    pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> tuple[str, DataFrame]:
+    """Write a record per row of ``pages``; (folder, index).  The archives stay until their owner deletes the folder.
 
     Null html is an empty payload.  Of records with equal payloads of at least
     100 bytes the one with the least page_id is the response, the others
@@ -113,7 +137,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
     small_batches(spark)
     folder = folder or new_folder(spark, "warc")
     keyed = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")
     ).select(
         "*",
         F.octet_length("html").cast("long").alias("payload_bytes"),
@@ -181,7 +205,7 @@ def _reader(folder: str, with_payload: bool):
                         raise ValueError(f"record at {name}:{keys[k][1]} doesn't match its digest")
                     number = lambda s: int(x) if (x := s.removeprefix("<urn:page:").removesuffix(">")) else None
                     made.append((
-                        number(fields["warc-record-id"]), fields["warc-target-uri"], block if with_payload and kind == "response" else None,
+                        number(fields["warc-record-id"]), target_uri(fields), block if with_payload and kind == "response" else None,
                         int(fields["warc-payload-length"]), digest, kind, number(fields["warc-refers-to"]) if kind == "revisit" else None,
                     ))
             frame = pd.DataFrame(made, columns=[c.split()[0] for c in READ.split(", ")])
@@ -191,6 +215,11 @@ def _reader(folder: str, with_payload: bool):
 
 
 def read_records(folder: str, index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records that ``index`` (or any selection of its rows) names, read and checked."""
+    """Records that ``index`` (or any selection of its rows) names, read and checked; one row each.
+
+    URLs come back as they were written, null ones as null; ``payload`` is null for revisits (the record they refer to
+    holds it) and without ``with_payload``.  An empty selection gives an empty result; a row that the index repeats is
+    read again.  A record that doesn't match the index's digest raises.
+    """
     sorted_rows = index.repartition("file").sortWithinPartitions("file", "offset")
     return sorted_rows.mapInPandas(_reader(folder, with_payload), READ)
