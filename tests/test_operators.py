@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import kernels as N
 from tidewright.functions import pixel as P
-from tidewright.operators import accounting, adaptive, augment, metrics, region, spacetime, stencil, temporal
+from tidewright.operators import accounting, adaptive, augment, metrics, ranks, region, spacetime, stencil, temporal
 from tidewright.plans import clusters
 from tidewright.streaming.ingest import ingest, yearly_counts
 
@@ -134,6 +134,35 @@ def test_losses_against_numpy(spark):
     assert metrics.weighted_ce(wild, [], "bg", "fg", "gt").first().ce == pytest.approx(800.0)
 
 
+@pytest.mark.parametrize("bins", [1, 4, 1024])
+def test_quantiles_by_bins_are_exact(spark, bins):
+    rng = np.random.default_rng(2)
+    groups = [rng.normal(size=500), np.full(7, 2.0), np.array([1.0]), np.array([]), np.round(rng.normal(size=300), 1), np.array([-1e30, 0.0, 1e30, 5.0])]
+    lone = np.append(groups[5], np.inf)
+    rows = [(k, float(x), float(-x)) for k, g in enumerate(groups) for x in g] + [(0, float("nan"), None), (3, None, None), (5, float("inf"), None)]
+    df = spark.createDataFrame(rows, "k int, x double, z double")
+    wanted = {"a": (F.col("x"), 0.25), "b": (F.col("x"), 0.0), "c": (F.col("z"), 0.995), "d": (F.col("x"), 0.5)}
+    found = {r.k: r for r in ranks.quantiles(df, ["k"], wanted, bins).collect()}
+    assert sorted(found) == list(range(6))
+    for k, g in enumerate(groups):
+        for name, (sign, q) in {"a": (1, 0.25), "b": (1, 0.0), "c": (-1, 0.995), "d": (1, 0.5)}.items():
+            g = lone if k == 5 and name != "c" else groups[k]
+            with np.errstate(invalid="ignore"):
+                assert found[k][name] == (pytest.approx(np.quantile(sign * g, q)) if len(g) else None)
+
+
+def test_running_sums_across_bins(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(2)), round(float(rng.random()), 1), i, float(rng.integers(5))) for i in range(200)] + [(0, 0.0, 900, 1.0), (0, 1.0, 901, 1.0)]
+    df = spark.createDataFrame(rows, "k int, e double, i int, v double")
+    found = {r.i: r.s for r in ranks.running_sums(df, ["k"], "e", ["i"], {"s": F.col("v")}, 7).collect()}
+    for k in (0, 1):
+        total = 0.0
+        for _, e, i, v in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])):
+            total += v
+            assert found[i] == pytest.approx(total)
+
+
 def test_empty_validation_is_all_zero(spark):
     empty = spark.createDataFrame([], "pred int, gt int")
     row = metrics.confusion(empty, [], "pred", "gt").first()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import constants as K
 from tidewright.functions.pixel import clip, finite, sigmoid
+from tidewright.operators.ranks import quantiles, with_quantiles
 
 
 def with_statistics(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
@@ -20,11 +21,6 @@ def with_statistics(df: DataFrame, keys: list[str], stats: dict[str, Column]) ->
     return df.join(found, keys)
 
 
-def quantile(x: Column, q: float) -> Column:
-    """Exact quantile with linear interpolation; NaN and null are skipped."""
-    return F.percentile(finite(x), F.lit(q))
-
-
 def intensity(vv: Column, vh: Column) -> Column:
     return F.sqrt(vv * vv + vh * vh + 1e-6)
 
@@ -33,14 +29,8 @@ def water_probability(df: DataFrame, keys: list[str], mndwi: str = "mndwi", vv:
     """``df`` with thr_m, thr_i and water_prob: wet by index and dark by radar, both."""
     m, i = F.col(mndwi), intensity(F.col(vv), F.col(vh))
     with_i = df.withColumn("intensity", i)
-    found = with_statistics(
-        with_i,
-        keys,
-        {
-            "thr_m": F.coalesce(quantile(m, K.WATER_QUANTILE), F.lit(0.0)),
-            "thr_i": F.coalesce(quantile(F.col("intensity"), K.INTENSITY_QUANTILE), F.lit(0.1)),
-        },
-    )
+    found = with_quantiles(with_i, keys, {"thr_m": (m, K.WATER_QUANTILE), "thr_i": (F.col("intensity"), K.INTENSITY_QUANTILE)})
+    found = found.withColumns({"thr_m": F.coalesce("thr_m", F.lit(0.0)), "thr_i": F.coalesce("thr_i", F.lit(0.1))})
     prob = sigmoid((m - F.col("thr_m")) * K.WATER_SLOPE) * sigmoid(
         (F.col("thr_i") - F.col("intensity")) * K.INTENSITY_SLOPE
     )
@@ -49,8 +39,7 @@ def water_probability(df: DataFrame, keys: list[str], mndwi: str = "mndwi", vv:
 
 
 def water_mask_quantile(df: DataFrame, keys: list[str], mndwi: str = "mndwi", q: float = K.WATER_QUANTILE) -> DataFrame:
-    thr = F.coalesce(quantile(F.col(mndwi), q), F.lit(K.WATER_FIXED))
-    found = with_statistics(df, keys, {"thr": thr})
+    found = with_quantiles(df, keys, {"thr": (F.col(mndwi), q)}).withColumn("thr", F.coalesce("thr", F.lit(K.WATER_FIXED)))
     return found.withColumn("water", F.col(mndwi) > F.col("thr"))
 
 
@@ -65,9 +54,7 @@ def otsu_thresholds(df: DataFrame, keys: list[str], value: str = "mndwi") -> Dat
     aggregation; a flat scene takes the fixed threshold.
     """
     x = F.col(value)
-    ranged = with_statistics(
-        df, keys, {"p1": quantile(x, K.OTSU_LOW / 100), "p99": quantile(x, K.OTSU_HIGH / 100)}
-    )
+    ranged = with_quantiles(df, keys, {"p1": (x, K.OTSU_LOW / 100), "p99": (x, K.OTSU_HIGH / 100)})
     scaled = (clip(x, F.col("p1"), F.col("p99")) - F.col("p1")) / (F.col("p99") - F.col("p1") + 1e-6) * 255.0
     bins = ranged.withColumn("bin", clip(scaled, 0, 255).cast("int"))
     counts = bins.groupBy(*keys, "p1", "p99", "bin").agg(F.count("*").alias("n"))
@@ -93,8 +80,7 @@ def otsu_thresholds(df: DataFrame, keys: list[str], value: str = "mndwi") -> Dat
 
 def index_water(df: DataFrame, keys: list[str], mndwi: str = "mndwi", dynamic: bool = True) -> DataFrame:
     """``df`` with ``a_water``: wetness relative to the sample's own quantile, or to the fixed threshold."""
-    thr = quantile(F.col(mndwi), K.WATER_QUANTILE) if dynamic else F.max(F.lit(K.WATER_FIXED))
-    found = with_statistics(df, keys, {"thr": thr})
+    found = with_quantiles(df, keys, {"thr": (F.col(mndwi), K.WATER_QUANTILE)}) if dynamic else df.withColumn("thr", F.lit(K.WATER_FIXED))
     return found.withColumn("a_water", sigmoid((F.col(mndwi) - F.col("thr")) * K.WATER_SLOPE))
 
 
@@ -115,7 +101,7 @@ def summarize(df: DataFrame, keys: list[str], value: str, probes=K.PROBES) -> Da
 def rgb_stretch(df: DataFrame, keys: list[str], channels: tuple[str, str, str]) -> DataFrame:
     """``df`` with red, green, blue bytes, stretched between the 2nd and 98th percentile of all three."""
     long = df.select(*keys, F.explode(F.array(*channels)).alias("v"))
-    found = long.groupBy(*keys).agg(quantile(F.col("v"), 0.02).alias("lo"), quantile(F.col("v"), 0.98).alias("hi"))
+    found = quantiles(long, keys, {"lo": (F.col("v"), 0.02), "hi": (F.col("v"), 0.98)})
     joined = df.join(found, keys)
     scaled = lambda c: clip((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6), 0, 1) * 255.0
     names = ("red", "green", "blue")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import constants as K
 from tidewright.functions.pixel import aux_ramp, clip
+from tidewright.operators.ranks import running_sums
 
 EPS = 1e-6
 
@@ -115,21 +116,23 @@ def soft_dice(df: DataFrame, keys: list[str], image: list[str], prob: str, gt: s
 def lovasz(df: DataFrame, keys: list[str], prob: str, gt: str, tie: list[str]) -> DataFrame:
     """Lovasz softmax per key: mean over the classes present of sorted errors times Jaccard steps.
 
-    ``keys`` is what one loss covers (a batch); ``tie`` orders equal errors.
+    ``keys`` is what one loss covers (a batch); ``tie`` orders equal errors.  Errors are sorted bin by bin, so a batch
+    and class is no one task.
     """
     ok = df.where(F.col(gt).isNotNull())
     long = ok.select(*keys, *tie, F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.col(gt).alias("_g"), F.col(prob).alias("_p"))
     y = F.when(F.col("_g") == F.col("k"), 1.0).otherwise(0.0)
     p = F.when(F.col("k") == 1, F.col("_p")).otherwise(1.0 - F.col("_p"))
     graded = long.select(*keys, *tie, "k", y.alias("y"), F.abs(y - p).alias("e"))
-    order = Window.partitionBy(*keys, "k").orderBy(F.desc("e"), *tie)
-    frame = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("y").over(Window.partitionBy(*keys, "k"))
-    inter = total - F.sum("y").over(frame)
-    union = total + F.sum(1.0 - F.col("y")).over(frame)
-    stepped = graded.withColumns({"_t": total, "j": 1.0 - inter / F.greatest(union, F.lit(1.0))})
-    diff = F.col("j") - F.coalesce(F.lag("j").over(order), F.lit(0.0))
-    each = stepped.withColumn("_d", diff).where("_t > 0").groupBy(*keys, "k").agg(F.sum(F.col("e") * F.col("_d")).alias("_l"))
+    totals = graded.groupBy(*keys, "k").agg(F.sum("y").alias("_t")).where("_t > 0")
+    summed = running_sums(graded, [*keys, "k"], "e", tie, {"_y": F.col("y"), "_n": F.lit(1)}).join(totals, [*keys, "k"])
+
+    def jaccard(hit: Column, n: Column) -> Column:
+        """Loss where the first ``n`` errors, ``hit`` of them at the class's pixels, are taken for wrong."""
+        return 1.0 - (F.col("_t") - hit) / F.greatest(F.col("_t") + n - hit, F.lit(1.0))
+
+    step = jaccard(F.col("_y"), F.col("_n")) - jaccard(F.col("_y") - F.col("y"), F.col("_n") - 1)
+    each = summed.groupBy(*keys, "k").agg(F.sum(F.col("e") * step).alias("_l"))
     return _agg(each, keys, F.avg("_l").alias("lovasz"))
 
 

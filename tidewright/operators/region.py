@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tidewright.functions import constants as K
 from tidewright.functions import kernels as N
+from tidewright.operators.ranks import quantiles
 from tidewright.operators.tiles import apply_tiles
 from tidewright.tables import cut
 
@@ -120,8 +121,10 @@ def hysteresis(df: DataFrame, keys: list[str], prob: str, land: str, block: int
     stats = df.groupBy(*keys).agg(
         F.bool_or((p >= K.SEED_HIGH) & on).alias("_any"),
         F.count_if(on).alias("_land"),
-        F.percentile(F.when(on, p), F.lit(K.SEED_QUANTILE)).alias("_q"),
     )
+    # only scenes without a seed, and with much land, need the quantile of their land
+    poor = df.join(stats.where(~F.col("_any") & (F.col("_land") > K.SEED_LAND_PX)).select(*keys), keys, "left_semi")
+    stats = stats.join(quantiles(poor.where(on), keys, {"_q": (p, K.SEED_QUANTILE)}), keys, "left")
     bar = F.when(F.col("_any"), F.lit(K.SEED_HIGH)).when(F.col("_land") > K.SEED_LAND_PX, F.col("_q"))
     seeded = df.join(stats, keys).withColumn("_low", on & (p >= K.SEED_LOW)).withColumn("_seed", F.coalesce(on & (p >= bar), F.lit(False)))
     labelled = components(seeded, keys, "_low", block)
