@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidewright.functions import kernels as N
 from tidewright.functions import pixel as P
 from tidewright.operators import accounting, adaptive, augment, metrics, ranks, region, spacetime, stencil, temporal
+from tidewright import __main__ as command
+from tidewright.operators import scoring
 from tidewright.plans import clusters
 from tidewright.streaming.ingest import ingest, yearly_counts
 
@@ -246,6 +248,43 @@ def test_a_run_with_all_outputs(spark, tmp_path):
     assert spark.read.json(f"{out}/summaries").select("cluster_id").distinct().count() == 4
 
 
+def test_command_line_runs(spark, tmp_path, capsys):
+    scenes(spark).where("not (cluster_id = 1 and year = 2018)").write.parquet(f"{tmp_path}/scenes")
+    (tmp_path / "ports.csv").write_text("cluster_id,resolved_portids\n0,P7\n")
+    args = [f"{tmp_path}/scenes", f"{tmp_path}/ports.csv", f"{tmp_path}/out", "--year-max", "2019", "--block", "6", "--pad", "3", "--pixel-m", "60"]
+    assert command.main(args) == 1 and "cluster 1 failed: missing years" in capsys.readouterr().out
+    assert command.main([*args, "--no-strict-years", "--exclude", "5"]) == 0
+    (part,) = (tmp_path / "out" / "global").glob("part-*.csv")
+    text = part.read_bytes()
+    assert text.startswith(b"\xef\xbb\xbfcluster_id,cluster_uid,year") and text.count(b"\n") == 6
+    assert command.config(command.parser().parse_args(["s", "p", "f", "--clusters", "3", "4"])).clusters == (3, 4)
+
+
+def test_scorer_sees_batches(spark):
+    seen = []
+
+    def scorer(x):
+        assert x.shape[1:] == (12, 6, 6) and 1 <= len(x) <= 2
+        return np.stack([x[:, 0] * 0, x[:, 0] + x[:, 1] * 2], axis=1)
+
+    rng = np.random.default_rng(3)
+    df = grid(spark, {f"b{i}": rng.random((2, 11, 14)) for i in range(12)})
+    one, two = (scoring.score_scenes(df, ["k"], [0.0] * 12, [1.0] * 12, scorer, 6, 3, batch=n).collect() for n in (1, 2))
+    near = lambda rows: [(r.k, r.r, r.c, round(r.p, 9)) for r in sorted(rows)]
+    assert near(one) == near(two) and len(one) == 2 * 11 * 14 and not seen
+
+
+def test_sweep_leaves_nothing(spark):
+    from tidewright import tables
+
+    folder = tables.new_folder(spark, "x").rsplit("/", 1)[0]
+    df = tables.cut(spark.range(5).toDF("x"), "x")
+    assert df.count() == 5
+    tables.sweep(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_augmentation_equals_arrays(spark):
     rng = np.random.default_rng(4)
     shape = (40, 6, 6)

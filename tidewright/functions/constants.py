@@ -34,6 +34,8 @@ SWEEP_BATCHES = 80
 PROBES = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 EARTH_A, EARTH_F, MERCATOR_R = 6378137.0, 1 / 298.257223563, 6378137.0
 
+OVERLAY_SHARE = 0.45  # of the mask's colour
+
 # Augmentation: shares of samples, and how far numbers reach.
 FLIP_SHARE = 0.5  # mirrored left to right; up and down; given quarter turns: each on its own
 WARP_SHARE = 0.35

@@ -109,10 +109,17 @@ def rgb_stretch(df: DataFrame, keys: list[str], channels: tuple[str, str, str])
     return joined.withColumns({n: (scaled(c) + 1e-9).cast("int") for n, c in zip(names, channels, strict=True)}).drop("lo", "hi")
 
 
-def overlay(df: DataFrame, mask: str, colour: tuple[int, int, int], share: float = 0.4) -> DataFrame:
+def overlay(df: DataFrame, mask: str, colour: tuple[int, int, int], share: float = K.OVERLAY_SHARE) -> DataFrame:
     """Blend a colour into red, green, blue where ``mask`` holds."""
     names = ("red", "green", "blue")
     return df.withColumns({
         n: F.when(F.col(mask), (F.col(n) * (1.0 - share) + F.lit(float(v * share))).cast("int")).otherwise(F.col(n))
         for n, v in zip(names, colour, strict=True)
     })
+
+
+def heat(df: DataFrame, value: str, top: float = K.COASTAL_ALPHA) -> DataFrame:
+    """``df`` with red, green, blue of weights from 1 (blue) over green to 1 + ``top`` (red), in 256 steps."""
+    step = F.floor(clip((F.col(value) - 1.0) / max(1e-6, top), 0, 1) * 255.0) / 255.0
+    ramp = lambda centre: F.round(clip(1.5 - F.abs(4.0 * step - centre), 0, 1) * 255.0).cast("int")
+    return df.withColumns({"red": ramp(3.0), "green": ramp(2.0), "blue": ramp(1.0)})

@@ -1,7 +1,7 @@
 """Tile scoring with a pluggable scorer, flip averaging and overlap blending.
 
-A scorer is a function of one tile, ``(12, h, w)`` normalised bands, to logits
-``(2, h, w)`` (background, foreground).  The default is a transparent logistic
+A scorer is a function of a batch of tiles, ``(n, 12, h, w)`` normalised bands,
+to logits ``(n, 2, h, w)`` (background, foreground).  The default is a transparent logistic
 stand-in on two indices, not a trained network.
 """
 
@@ -23,15 +23,15 @@ Scorer = Callable[[np.ndarray], np.ndarray]
 
 def index_scorer(x: np.ndarray) -> np.ndarray:
     """Built-up and dry: a fixed logistic model on bands 9-11 (NDVI, MNDWI, NDBI)."""
-    fg = 1.5 * x[11] - 1.0 * x[10] - 0.5 * x[9]
-    return np.stack([np.zeros_like(fg), fg])
+    fg = 1.5 * x[:, 11] - 1.0 * x[:, 10] - 0.5 * x[:, 9]
+    return np.stack([np.zeros_like(fg), fg], axis=1)
 
 
 def with_flips(scorer: Scorer) -> Scorer:
-    """Mean of the logits of a tile and its three mirror images."""
+    """Mean of the logits of tiles and their three mirror images."""
     def run(x: np.ndarray) -> np.ndarray:
         total = scorer(x)
-        for axes in ((2,), (1,), (1, 2)):
+        for axes in ((3,), (2,), (2, 3)):
             total = total + np.flip(scorer(np.flip(x, axes)), axes)
         return total / 4.0
 
@@ -46,11 +46,13 @@ def score_scenes(
     scorer: Scorer = index_scorer,
     patch: int = K.PATCH,
     stride: int = K.STRIDE,
+    batch: int = K.BATCH,
 ) -> DataFrame:
     """(keys, r, c, p): scores of overlapping tiles blended with Hann weights.
 
     Bands b0..b11 are cleaned, padded by reflection to a full patch and
-    normalised; a group is one tile, so memory is bounded by the patch.
+    normalised.  A group is a batch of up to ``batch`` tiles side by side, so
+    the scorer sees several at a time and memory is bounded by the batch.
     """
     bands = [f"b{i}" for i in range(len(K.BANDS))]
     tiles = tile_cover(df.select(*keys, "r", "c", *bands), patch, stride)
@@ -61,18 +63,22 @@ def score_scenes(
     scorer = with_flips(scorer)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(group["y0"].iloc[0]), int(group["x0"].iloc[0])
-        r, c = group["r"].to_numpy() - y0, group["c"].to_numpy() - x0
-        h, w = int(r.max()) + 1, int(c.max()) + 1
-        x = np.zeros((len(bands), h, w))
-        x[:, r, c] = np.nan_to_num(group[bands].to_numpy(float).T, nan=0.0, posinf=0.0, neginf=0.0)
-        mode = "reflect" if h > 1 and w > 1 else "edge"
-        x = np.pad(x, ((0, 0), (0, patch - h), (0, patch - w)), mode=mode)
-        z = scorer((x - mu[:, None, None]) / sd[:, None, None])
-        p = 1.0 / (1.0 + np.exp(z[0] - z[1]))
-        out = {k: group[k].iloc[0] for k in keys}
-        return pd.DataFrame(out | {"r": r + y0, "c": c + x0, "h": h, "w": w, "ry": r, "rx": c, "p": p[r, c]})
-
-    scored = tiles.groupBy(*keys, "y0", "x0").applyInPandas(run, schema)
+        parts = [part for _, part in group.groupby("x0", sort=True)]
+        made, images = [], []
+        for part in parts:
+            y0, x0 = int(part["y0"].iloc[0]), int(part["x0"].iloc[0])
+            r, c = part["r"].to_numpy() - y0, part["c"].to_numpy() - x0
+            h, w = int(r.max()) + 1, int(c.max()) + 1
+            x = np.zeros((len(bands), h, w))
+            x[:, r, c] = np.nan_to_num(part[bands].to_numpy(float).T, nan=0.0, posinf=0.0, neginf=0.0)
+            mode = "reflect" if h > 1 and w > 1 else "edge"
+            images.append(np.pad(x, ((0, 0), (0, patch - h), (0, patch - w)), mode=mode))
+            made.append({k: part[k].iloc[0] for k in keys} | {"r": r + y0, "c": c + x0, "h": h, "w": w, "ry": r, "rx": c})
+        z = scorer((np.stack(images) - mu[:, None, None]) / sd[:, None, None])
+        p = 1.0 / (1.0 + np.exp(z[:, 0] - z[:, 1]))
+        return pd.concat([pd.DataFrame(cols | {"p": q[cols["ry"], cols["rx"]]}) for cols, q in zip(made, p, strict=True)])
+
+    batches = tiles.withColumn("xb", F.floor(F.col("x0") / (stride * batch)))
+    scored = batches.groupBy(*keys, "y0", "xb").applyInPandas(run, schema)
     weighted = scored.withColumn("w8", hann2d(F.col("ry"), F.col("rx"), F.col("h"), F.col("w")))
     return overlap_blend(weighted, keys, "p", "w8")

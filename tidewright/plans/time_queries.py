@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import pixel as P
 from tidewright.functions.constants import TEMPORAL_WEIGHTS
-from tidewright.operators import accounting, spacetime, temporal, tiles
+from tidewright.operators import accounting, adaptive, spacetime, temporal, tiles
 from tidewright.operators.scoring import score_scenes
 from tidewright.plans import clusters
 from tidewright.plans import fixtures as X
@@ -258,6 +258,16 @@ def score_scene(s, d):
     return found.withColumn("p", R(F.col("p")))
 
 
+_RAMP = lambda k, n: f"round(least(greatest(1.5 - abs(4.0 * floor(p * 255.0) / 255.0 - {k}), 0.0), 1.0) * 255.0)::INTEGER AS {n}"
+
+
+@query(f"WITH {X.STACK} SELECT cluster_id, year, r, c, {_RAMP(3.0, 'red')}, {_RAMP(2.0, 'green')}, {_RAMP(1.0, 'blue')} FROM stack")
+def heat_map(s, d):
+    # a top of a power of two keeps the steps exact
+    found = adaptive.heat(X.stack(s, d).withColumn("w", 1.0 + 2.0 * F.col("p")), "w", 2.0)
+    return found.select(*AT, "red", "green", "blue")
+
+
 # space-time cut
 
 

@@ -46,6 +46,12 @@ def write_changes(df: DataFrame, path: str, resume: bool = True) -> None:
     df.write.mode("append" if resume else "overwrite").csv(path, header=True)
 
 
+def write_global(df: DataFrame, path: str) -> None:
+    """The whole change table (a row a cluster and year) as one CSV part that begins with a byte-order mark."""
+    first, *rest = df.columns
+    df.coalesce(1).select(F.col(first).alias(f"\ufeff{first}"), *rest).write.mode("overwrite").csv(path, header=True)
+
+
 def write_config(config: object, path: str) -> None:
     """A driver-side settings file."""
     data = asdict(config) if is_dataclass(config) else config

@@ -22,8 +22,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_root(spark)}/tidewright/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/tidewright/{label}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables this application made: call it when the results that read them have been used."""
+    _delete(spark, _home(spark))
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -39,6 +54,4 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tidewright_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._tidewright_path)
