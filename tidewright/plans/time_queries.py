@@ -258,12 +258,12 @@ def score_scene(s, d):
     return found.withColumn("p", R(F.col("p")))
 
 
-_RAMP = lambda k, n: f"round(least(greatest(1.5 - abs(4.0 * floor(p * 255.0) / 255.0 - {k}), 0.0), 1.0) * 255.0)::INTEGER AS {n}"
+_RAMP = lambda k, n: f"round(least(greatest(1.5 - abs(4.0 * floor((w - 1.0::DOUBLE) / 2.0::DOUBLE * 255.0::DOUBLE) / 255.0::DOUBLE - {k}), 0.0), 1.0) * 255.0)::INTEGER AS {n}"
 
 
-@query(f"WITH {X.STACK} SELECT cluster_id, year, r, c, {_RAMP(3.0, 'red')}, {_RAMP(2.0, 'green')}, {_RAMP(1.0, 'blue')} FROM stack")
+@query(f"""WITH {X.STACK}, weighed AS (SELECT cluster_id, year, r, c, 1.0::DOUBLE + 2.0::DOUBLE * p AS w FROM stack)
+SELECT cluster_id, year, r, c, {_RAMP(3.0, 'red')}, {_RAMP(2.0, 'green')}, {_RAMP(1.0, 'blue')} FROM weighed""")
 def heat_map(s, d):
-    # a top of a power of two keeps the steps exact
     found = adaptive.heat(X.stack(s, d).withColumn("w", 1.0 + 2.0 * F.col("p")), "w", 2.0)
     return found.select(*AT, "red", "green", "blue")
 
