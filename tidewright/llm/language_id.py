@@ -31,7 +31,7 @@ from tidewright.llm.common import annotate, once_a_process
 from tidewright.llm.words import batches
 
 #: The labelled sample: whole documents a language, by hash of their id; those of up to so many bytes come first.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES = 48, 4096
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 24, 4096
 #: Symbols of a long text that one row of the lockstep parse takes.
 SEGMENT = 1024
 UNKNOWN = "und"
