@@ -359,4 +359,4 @@ def test_entry_works_without_corpus_part(spark, monkeypatch):
 def test_overlay_blends_where_the_mask_holds(spark):
     df = spark.createDataFrame([(100, 0, 255, True), (100, 0, 255, False)], "red int, green int, blue int, m boolean")
     found = {r.m: (r.red, r.green, r.blue) for r in adaptive.overlay(df, "m", (0, 0, 255)).collect()}
-    assert found == {True: (60, 0, 255), False: (100, 0, 255)}
+    assert found == {True: (55, 0, 255), False: (100, 0, 255)}  # the published share, 0.45
