@@ -152,7 +152,7 @@ def diagnostics(df: DataFrame, keys: list[str], pixel_m: float) -> DataFrame:
     )
 
 
-#: Columns of the change table, in order.
+#: Names and order of the columns of the published change table.
 RESULT = (
     "cluster_id", "cluster_uid", "year", "base_year", "area_method", "area_m2_hstgo",
     "seaward_net_change_m2_from_base", "landward_net_change_m2_from_base", "total_net_change_m2_from_base",
